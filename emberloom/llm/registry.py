@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontam, mixing, toxicity
+from .common import scratch_root
 from .neardup import near_duplicates
+from .shards import ShardStore
 from .substring import substring_dedup
 
+#: The classifier chain's categories, in order, as SQL over `labels`.
+TOXICITY_CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,13 +27,37 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.poisson_mix(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "copy", "shuffle_key", F.md5("text").alias("text_md5"))
+
+
+def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    store = ShardStore(spark, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}", docs.schema)
+    store.append_arrivals(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)))
+    store.compact()
+    store.vacuum()
+    return store.read(shard_col="shard").select("doc_id", "shard", "source", "lang", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def op6_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.train_chain(docs, _table(spark, sf_dir, "labels"), TOXICITY_CHAIN)
+    return toxicity.score(docs, chain).withColumnRenamed("rejected", "toxic")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op8_near_duplicates)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_poisson_mix, op5_shard_compaction, op6_benchmark_matches, op8_near_duplicates, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_poisson_mix": mixing.ORACLE}
