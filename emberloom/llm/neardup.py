@@ -34,6 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, connected_components, mix, ngrams, stage_table, text_chunks
 
+#: So many unchecked pairs for each node, at most, are checked one by one.
+PAIRS_PER_NODE = 8
+#: For each of them, so many may be looked at by their sizes and signatures.
+LOOKS_PER_NODE = 50
+
 
 def shingle_sets(hasher: Hasher, held: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; the whole sequence as one shingle if it is shorter."""
@@ -72,7 +77,7 @@ def _signatures(width: int, tables: int, sub: int):
                 a[full], b[full] = low.view(np.int64), high.view(np.int64)
                 for at, key in zip(full, keys.view(np.int64), strict=True):
                     rows[at] = key
-                yield pd.DataFrame({"id": pd.array(ids, "Int64"), "n": n, "set1": a, "set2": b, "subs": rows})
+                yield pd.DataFrame({"id": ids, "n": n, "set1": a, "set2": b, "subs": rows})
 
     return run
 
@@ -102,7 +107,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, n_shingles, component_id, kept (id = component_id).
     Documents are linked when den * intersection >= num * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sigs = stage_table(docs.mapInPandas(_signatures(shingle_words, tables, width), "id long, n long, set1 long, set2 long, subs array<long>"), "nd-sigs")
+    signed = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_signatures(shingle_words, tables, width), "id string, n long, set1 long, set2 long, subs array<long>")
+    sigs = stage_table(signed.withColumn("id", F.col("id").cast("long")), "nd-sigs")
     full = sigs.filter("n > 0 AND id IS NOT NULL")
     # Equal sets are one node, named by its smallest id.
     nodes = stage_table(full.groupBy("n", "set1", "set2").agg(F.min("id").alias("node"), F.first("subs").alias("subs")), "nd-nodes")
@@ -131,18 +137,61 @@ def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
     return stage_table(kept.select("key", "node", "c").join(weights, "node"), "nd-buckets")
 
 
+def _cross(own: DataFrame) -> int:
+    """How many pairs of unlike components meet in the sub-keys."""
+    parts = own.groupBy("slot", "sub", "component").agg(F.count("*").alias("c"))
+    groups = parts.groupBy("slot", "sub").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    return int(groups.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
+
+
+def _possible(own: DataFrame, texts: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
+    """own with u, the number of a node's shingles that no other of these nodes has, without the
+    rows whose node is too unlike all: two sets of x and y shingles of which u and v are theirs
+    alone share at most x - u and have at least y + u in all."""
+    nodes = own.select(F.col("node").alias("id")).distinct()
+    held = texts.join(nodes.hint("merge"), "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for pdf in batches:
+            for ids, held in text_chunks(pdf["id"], pdf["text"]):
+                sets = shingle_sets(hasher, held, shingle_words)
+                yield pd.DataFrame({"id": np.repeat(np.asarray(ids, np.int64), [len(x) for x in sets]), "s": np.concatenate(sets).view(np.int64)})
+
+    rows = held.select("id", "text").mapInPandas(run, "id long, s long")
+    alone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    once = held.groupBy("id").agg(F.count("*").alias("texts")).filter("texts = 1").select("id")  # an id of several texts is left in
+    own = own.drop("u").join(alone.join(once, "id").withColumnRenamed("id", "node"), "node", "left").withColumn("u", F.coalesce("alone", F.lit(0))).drop("alone")
+    least = own.groupBy("slot", "sub").agg(F.min("n").alias("least"))
+    return own.join(least, ["slot", "sub"]).filter(F.expr(f"{den} * (n - u) >= {num} * (least + u)")).select("node", "component", "n", "u", "subs", "slot", "sub")
+
+
+def _unlike(own: DataFrame, tables: int, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of nodes of unlike components that share a table key and can be similar enough."""
+    x, y = (own.select("slot", "sub", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "component", "n", "u", "subs"))) for v in "xy")
+    x = x.withColumnsRenamed({"slot": "slot_x", "sub": "sub_x"})
+    first = f"array_position(zip_with(slice(subs_x, 1, {tables}), slice(subs_y, 1, {tables}), (p, q) -> p = q), true) = slot + 1"
+    second = f"exists(zip_with(slice(subs_x, {tables + 1}, {tables}), slice(subs_y, {tables + 1}, {tables}), (p, q) -> p = q), t -> t)"
+    both = "least(n_x - u_x, n_y - u_y)"
+    able = f"{den} * {both} >= {num} * (n_x + n_y - {both})"
+    on = f"slot_x = slot AND sub_x = sub AND node_x < node_y AND component_x <> component_y AND {able} AND {first} AND {second}"
+    return x.join(y, F.expr(on)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def _links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den: int, tables: int) -> DataFrame:
     """(node, component) of the linked nodes."""
     buckets = _buckets(nodes, tables)
     involved = buckets.select(F.col("node").alias("id")).distinct()
-    texts = stage_table(docs.filter("text IS NOT NULL").join(involved, "id").distinct(), "nd-texts")
+    # The hints keep the plan the same at every size.
+    texts = stage_table(docs.filter("text IS NOT NULL").join(involved.hint("merge"), "id").distinct(), "nd-texts")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        own = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+        both = pairs.join(own("a"), "a").join(own("b"), "b")
         return stage_table(both.select("a", "b", "text_a", "text_b").mapInPandas(_verify(shingle_words, num, den), "a long, b long, ok boolean"), "nd-checked")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    n_nodes = nodes.count()
+    few = PAIRS_PER_NODE * nodes.count()
     centre = F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")
     pairs = buckets.join(buckets.groupBy("key").agg(centre), "key").filter("node <> centre").select(*ordered("node", "centre")).distinct()
     known = checked(pairs)
@@ -151,18 +200,24 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den:
         comps = connected_components(known.filter("ok"))
         left = left.select("key", "node", "weight").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = left.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_ = parts.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).filter("k > 1")
+        open_ = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).filter("k > 1")
         left = stage_table(left.join(open_, "key"), "nd-open")
-        cross = left.select("key", "all", "same").distinct().agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
+        # Pairs of unlike components are listed by their first common A[i], so each comes once.
+        still = left.select("node", "component").distinct().join(nodes.select("node", "n", "subs"), "node")
+        own = stage_table(still.select("node", "component", "n", F.lit(0).alias("u"), "subs", F.posexplode(F.slice("subs", 1, tables)).alias("slot", "sub")), "nd-own")
+        cross = _cross(own)
         if not cross:
             return comps
-        if cross <= n_nodes:
-            x, y = left.select("key", F.col("node").alias("x"), F.col("component").alias("cx")), left.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-            pairs = x.join(y, "key").filter("x < y AND cx <> cy").select(*ordered("x", "y")).distinct().join(known, ["a", "b"], "left_anti")
-            return connected_components(known.union(checked(pairs)).filter("ok"))
+        if cross > few:
+            own = stage_table(_possible(own, texts, shingle_words, num, den), "nd-possible")
+            cross = _cross(own)
+        if cross <= LOOKS_PER_NODE * few:
+            pairs = stage_table(_unlike(own, tables, num, den).join(known, ["a", "b"], "left_anti"), "nd-pairs")
+            if cross <= few or pairs.count() <= few:
+                return connected_components(known.union(checked(pairs)).filter("ok"))
         # The members outside a bucket's largest component take turns as its centre.
         outside = left.filter("component <> largest").groupBy("key").agg(centre)
-        left = left.drop("all", "same", "largest", "k").join(outside, "key")
+        left = left.drop("largest", "k").join(outside, "key")
         pairs = left.filter("node <> centre").select(*ordered("node", "centre")).distinct().join(known, ["a", "b"], "left_anti")
         known = stage_table(known.union(checked(pairs)), "nd-known")
         left = left.filter("node <> centre").select("key", "node", "weight")

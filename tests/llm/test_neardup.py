@@ -78,3 +78,23 @@ def test_edge_rows(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_large_group_of_unlike_copies(spark, monkeypatch):
+    from emberloom.llm import neardup
+
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(50):
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4)
+    for pairs, looks in ((0.5, 50), (0.1, 0)):  # after pruning, by turns
+        monkeypatch.setattr(neardup, "PAIRS_PER_NODE", pairs)
+        monkeypatch.setattr(neardup, "LOOKS_PER_NODE", looks)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle_words=4, tables=12).collect()}
+        assert got == want
