@@ -12,7 +12,8 @@ past every shard is quadratic, so shards are formed by content. Every window of
 `span_words` words is owned by its minimiser, the k-gram of smallest hash in it.
 Equal windows have equal minimisers, so a shard holds whole minimiser groups and
 only the stretches of documents that can match there are streamed past it.
-Minimisers that occur once are dropped first. A minimiser with more than
+Minimisers that occur once are dropped first, and a stretch that is the only one of
+its minimiser needs no automaton: its first document is that of all its windows. A minimiser with more than
 `hot_anchor` occurrences is dealt out again by whole windows: equal windows
 collapse to one reference row, so no group grows with a frequent phrase.
 
@@ -25,14 +26,16 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, ngrams, text_chunks
+from .common import CHUNK_BYTES, Hasher, mix, ngrams, text_chunks
 
 ANCHOR_WORDS = 4
 
@@ -102,19 +105,19 @@ class SuffixAutomaton:
 
 
 def _runs(hasher: Hasher, held: list[bytes], span: int):
-    """Runs of windows with one owning minimiser: (anchor hash, text, first window
-    in the text, windows), the window hashes' function and all word offsets."""
-    h, s, e, first, offs = hasher.batch(held)
+    """Runs of windows with one owning minimiser: (anchor hash, text, first word, windows),
+    words counted over all texts, and the batch's word hashes and offsets."""
+    h, s, e, first, _ = batch = hasher.batch(held)
     m = len(h) - span + 1
-    doc = np.repeat(np.arange(len(held)), np.diff(first))
     if m <= 0:
         none = np.empty(0, np.int64)
-        return none.view(np.uint64), none, none, none, h, s, e, first, offs
+        return none.view(np.uint64), none, none, none, batch
+    doc = np.repeat(np.arange(len(held)), np.diff(first))
     g = ngrams(h, ANCHOR_WORDS)
     best, pos = g[:m].copy(), np.zeros(m, np.int8)
     for j in range(1, span - ANCHOR_WORDS + 1):
         less = g[j : j + m] < best
-        best[less] = g[j : j + m][less]
+        np.copyto(best, g[j : j + m], where=less)
         pos[less] = j
     at = np.flatnonzero(doc[:m] == doc[span - 1 :])
     owner = at + pos[at]
@@ -123,51 +126,131 @@ def _runs(hasher: Hasher, held: list[bytes], span: int):
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(at)))
     at = at[begin]
-    return best[at], doc[at], at - first[doc[at]], n, h, s, e, first, offs
+    return best[at], doc[at], at, n, batch
+
+
+def _tag(doc: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    """One number for a text of the batch and some hashes."""
+    out = mix(doc.astype(np.uint64) + np.uint64(1))
+    for x in parts:
+        out = mix(out ^ x)
+    return out
+
+
+def _lists(lists, dtype=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' lists (None: empty) as one array, and the text of each entry."""
+    sizes = [0 if x is None else len(x) for x in lists]
+    held = [np.asarray(x, dtype) for x, n in zip(lists, sizes, strict=True) if n]
+    return np.concatenate(held) if held else np.empty(0, dtype), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _hashes(hasher: Hasher, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the n words from each place."""
+    hasher._powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * hasher.pow[: len(h)], out=sums[1:])
+    return mix((sums[at + n] - sums[at]) * hasher.inv[at] + n.astype(np.uint64))
+
+
+def _windows(h: np.ndarray, hasher: Hasher, at: np.ndarray, n: np.ndarray, doc: np.ndarray, span: int):
+    """Each window of the runs on its own: (key, hash, text, first word)."""
+    at = np.repeat(at - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else at
+    hashes = _hashes(hasher, h, at, np.full(len(at), span, np.int64))
+    return mix(hashes), hashes, np.repeat(doc, n), at
 
 
 def _anchors(span: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for pdf in batches:
-            for ids, held in text_chunks(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+            for ids, held in text_chunks(pdf["id"], pdf["text"]):
                 a, d, *_ = _runs(hasher, held, span)
-                if len(a):
-                    one = np.unique(np.stack((d.astype(np.uint64), a)), axis=1)
-                    yield pd.DataFrame({"anchor": one[1].view(np.int64), "id": np.asarray(ids, np.int64)[one[0].astype(np.int64)]})
+                _, one = np.unique(_tag(d, a), return_index=True)
+                yield pd.DataFrame({"anchor": a[one].view(np.int64), "id": np.asarray(ids, np.int64)[d[one]]})
 
     return run
 
 
-def _segments(span: int):
-    """Stretches of a text that belong to shared anchors; hot ones window by window."""
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as compressed bytes: they are shuffled once and read by three steps."""
+    for pdf in batches:
+        raw = [None if t is None else t.encode("utf-8", "replace") for t in pdf["text"]]
+        packed = [x and pa.compress(x, "zstd", asbytes=True) for x in raw]
+        yield pd.DataFrame({"id": pdf["id"], "size": [-1 if x is None else len(x) for x in raw], "packed": packed})
+
+
+def _unpack(size: int, packed) -> bytes:
+    return pa.decompress(bytes(packed), size, "zstd", asbytes=True) if size > 0 else b""
+
+
+def _with_lists(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+    """Rows that have a text and lists, in runs of about CHUNK_BYTES."""
+    for pdf in batches:
+        pdf = pdf[pdf["list"].notna() & (pdf["size"] > 0)]
+        begin, held, total = 0, [], 0
+        for i, (size, packed) in enumerate(zip(pdf["size"].tolist(), pdf["packed"], strict=True), 1):
+            held.append(_unpack(size, packed))
+            total += size
+            if total >= CHUNK_BYTES:
+                yield pdf.iloc[begin:i], held
+                begin, held, total = i, [], 0
+        if held:
+            yield pdf.iloc[begin:], held
+
+
+def _occurrences(span: int):
+    """The stretches of texts that belong to shared anchors; hot ones window by window.
+    pos holds the first word in the text and, above it, a checksum of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
-        for pdf in batches:
-            out: list[tuple] = []
-            for i, text, shared, hot in zip(pdf["id"], pdf["text"], pdf["shared"], pdf["hot"], strict=True):
-                raw = text.encode("utf-8", "replace")
-                a, _, start, n, h, s, e, _, _ = _runs(hasher, [raw], span)
-                own = a.view(np.int64)
-                shared = np.asarray(shared, np.int64)
-                if not (pick := np.isin(own, shared)).any():
-                    continue
-                mark = np.isin(own, shared[np.asarray(hot, bool)])
-                whole = ngrams(h, span).view(np.int64) if mark.any() else None
-                words, seen = raw.split(), hashlib.blake2b(raw, digest_size=8).digest()
-                row = int.from_bytes(seen, "little", signed=True)
-                for j in np.flatnonzero(pick):
-                    b, w = int(start[j]), int(n[j])
-                    if mark[j]:
-                        out += [(int(whole[x]), i, row, x, b" ".join(words[x : x + span])) for x in range(b, b + w)]
-                    else:
-                        out.append((int(own[j]), i, row, b, b" ".join(words[b : b + w + span - 1])))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["key", "id", "row", "start", "seg"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["key", "id", "row", "start", "seg"])
+        for part, held in _with_lists(batches):
+            a, d, at, n, (h, _, _, first, _) = _runs(hasher, held, span)
+            shared, of = _lists(part["list"])
+            hot, _ = _lists(part["hot"], bool)
+            want, tag = _tag(of, shared.view(np.uint64)), _tag(d, a)
+            is_hot = np.isin(tag, want[hot])
+            cold = np.isin(tag, want) & ~is_hot
+            whole = _windows(h, hasher, at[is_hot], n[is_hot], d[is_hot], span)
+            key = np.concatenate((a[cold], whole[0]))
+            seg = np.concatenate((_hashes(hasher, h, at[cold], n[cold] + span - 1), whole[1]))
+            doc = np.concatenate((d[cold], whole[2]))
+            start = np.concatenate((at[cold], whole[3])) - first[doc]
+            sums = np.array([_checksum(x) for x in held], np.int64)
+            count = np.concatenate((n[cold], np.ones(len(whole[0]), np.int64)))
+            yield pd.DataFrame({"key": key.view(np.int64), "seg": seg.view(np.int64), "n": count, "hot": np.arange(len(key)) >= cold.sum(), "id": part["id"].to_numpy(np.int64)[doc], "pos": (sums[doc] << 32) | start})
+
+    return run
+
+
+def _checksum(raw: bytes) -> int:
+    return zlib.crc32(raw) >> 1
+
+
+def _references(span: int):
+    """The words of the stretches that a text is the first to hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for part, held in _with_lists(batches):
+            a, d, at, n, (h, s, e, _, _) = _runs(hasher, held, span)
+            keys, of = _lists(part["list"])
+            segs, _ = _lists(part["segs"])
+            hot, _ = _lists(part["hot"], bool)
+            want = _tag(of, keys.view(np.uint64), segs.view(np.uint64))
+            seg = _hashes(hasher, h, at, n + span - 1)
+            found = [(a, seg, d, at, n + span - 1)]
+            if hot.any():
+                pick = np.isin(d, of[hot])
+                found.append((*_windows(h, hasher, at[pick], n[pick], d[pick], span), None))
+            buf = b"\n".join(held)
+            for key, seg, d, at, n in found:
+                tag = _tag(d, key, seg)
+                _, one = np.unique(tag, return_index=True)
+                one = one[np.isin(tag[one], want)]
+                n = np.full(len(one), span) if n is None else n[one]
+                text = [buf[x:y] for x, y in zip(s[at[one]].tolist(), e[at[one] + n - 1].tolist(), strict=True)]
+                yield pd.DataFrame({"key": key[one].view(np.int64), "seg": seg[one].view(np.int64), "low": part["id"].to_numpy(np.int64)[d[one]], "words": text})
 
     return run
 
@@ -179,17 +262,17 @@ def _shards(span: int, shard_words: int):
         auto = SuffixAutomaton()
         for low, _, _, words in sorted(rows, key=lambda r: r[0]):
             auto.add(words, low)
-        return pd.DataFrame([(key, seg, auto.first_documents(words, span)) for _, key, seg, words in rows], columns=["key", "seg_hash", "first"])
+        return pd.DataFrame([(key, seg, auto.first_documents(words, span)) for _, key, seg, words in rows], columns=["key", "seg", "first"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size, last = [], 0, None
         for pdf in batches:
-            for key, seg_hash, seg, low in zip(pdf["key"].tolist(), pdf["seg_hash"].tolist(), pdf["seg"], pdf["low"].tolist(), strict=True):
+            for key, seg, words, low in zip(pdf["key"].tolist(), pdf["seg"].tolist(), pdf["words"], pdf["low"].tolist(), strict=True):
                 if key != last and size >= shard_words:
                     yield judge(rows)
                     rows, size = [], 0
-                words = bytes(seg).split(b" ")
-                rows.append((low, key, seg_hash, words))
+                words = bytes(words).split()
+                rows.append((low, key, seg, words))
                 size += len(words)
                 last = key
         if rows:
@@ -202,13 +285,14 @@ def _cut(span: int, keep_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, text, starts in zip(pdf["id"], pdf["text"], pdf["starts"], strict=True):
-                words = b"" if text is None else text.encode("utf-8", "replace")
-                words = words.split()
+            for i, size, packed, starts in zip(pdf["id"], pdf["size"].tolist(), pdf["packed"], pdf["starts"], strict=True):
+                raw = _unpack(size, packed)
+                words = raw.split()
                 n, spans = len(words), []
-                if starts is not None and len(starts):
-                    hit = np.zeros(n + 1, np.int32)
+                if starts is not None and size > 0:
                     at = np.unique(np.asarray(starts, np.int64))
+                    at = at[at >> 32 == _checksum(raw)] & 0xFFFFFFFF
+                    hit = np.zeros(n + 1, np.int32)
                     np.add.at(hit, at, 1)
                     np.add.at(hit, at + span, -1)
                     gone = np.cumsum(hit[:n]) > 0
@@ -216,12 +300,10 @@ def _cut(span: int, keep_text: bool):
                     spans = [{"start": a, "end": b} for a, b in zip(edges[0::2], edges[1::2], strict=True)]
                     words = [w for w, g in zip(words, gone, strict=True) if not g]
                 kept = b" ".join(words)
-                row = (None if pd.isna(i) else int(i), n, n - len(words), hashlib.sha256(kept).hexdigest(), spans)
+                row = (i, n, n - len(words), hashlib.sha256(kept).hexdigest(), spans)
                 out.append((*row, kept.decode("utf-8")) if keep_text else row)
             cols = ["id", "n_words", "n_removed", "kept_sha256", "spans"] + ["kept_text"] * keep_text
-            res = pd.DataFrame(out, columns=cols)
-            res["id"] = res["id"].astype("Int64")
-            yield res
+            yield pd.DataFrame(out, columns=cols)
 
     return run
 
@@ -232,31 +314,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     anchors = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(_anchors(span_words), "anchor long, id long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_anchor).alias("hot"))
-    lists = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared"), F.collect_list("hot").alias("hot"))
-    segs = docs.join(lists, "id").filter("text IS NOT NULL").mapInPandas(_segments(span_words), "key long, id long, row long, start int, seg binary")
-    refs = segs.groupBy("key", "seg").agg(F.min("id").alias("low")).withColumn("seg_hash", F.xxhash64("seg"))
-    judged = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span_words, shard_words), "key long, seg_hash long, first array<long>")
-    found = segs.select("key", F.xxhash64("seg").alias("seg_hash"), "id", "row", "start").join(judged, ["key", "seg_hash"])
-    starts = F.expr("filter(transform(first, (d, i) -> if(d < id, start + i, NULL)), x -> x IS NOT NULL)")
-    spans = found.select("id", "row", starts.alias("s")).filter("size(s) > 0").groupBy("id", "row").agg(F.flatten(F.collect_list("s")).alias("starts"))
-    schema = "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept_text string" * keep_text
-    return _apply(docs, spans, span_words, keep_text, schema).withColumnRenamed("id", id_col)
-
-
-def _apply(docs: DataFrame, spans: DataFrame, span: int, keep_text: bool, schema: str) -> DataFrame:
-    """Spans meet their rows by id and the text's own hash: repeated ids may differ in text."""
-    by_id = spans.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("row", "starts"))).alias("by_row"))
-
-    def choose(batches):
-        cut = _cut(span, keep_text)
-        for pdf in batches:
-            got = []
-            for text, m in zip(pdf["text"], pdf["by_row"], strict=True):
-                if m is None or text is None:
-                    got.append(None)
-                    continue
-                row = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                got.append(dict(m).get(row))
-            yield from cut([pd.DataFrame({"id": pdf["id"], "text": pdf["text"], "starts": got})])
-
-    return docs.join(by_id, "id", "left").mapInPandas(choose, schema)
+    lists = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("list"), F.collect_list("hot").alias("hot"))
+    # All joins with docs are left joins of the same rows, so that their texts are shuffled once.
+    packed = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_pack, "id string, size int, packed binary").withColumn("id", F.col("id").cast("long"))
+    found = packed.join(lists, "id", "left").mapInPandas(_occurrences(span_words), "key long, seg long, n int, hot boolean, id long, pos long")
+    # Different stretches of a minimiser, each named by its first document. One that is alone has
+    # nothing to be matched with; the others go to a shard, sent by their first documents.
+    firsts = found.repartition("key").groupBy("key", "seg").agg(F.min("id").alias("low"), F.first("hot").alias("hot"))
+    firsts = firsts.withColumn("alone", F.count("*").over(Window.partitionBy("key")) == 1)
+    lone = firsts.filter("alone").select("key", "seg", "low", F.lit(None).cast("array<long>").alias("first"))
+    senders = firsts.filter("NOT alone").groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("list"), F.collect_list("seg").alias("segs"), F.collect_list("hot").alias("hot"))
+    refs = packed.join(senders, "id", "left").mapInPandas(_references(span_words), "key long, seg long, low long, words binary")
+    shards = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span_words, shard_words), "key long, seg long, first array<long>")
+    judged = lone.unionByName(shards.dropDuplicates(["key", "seg"]).withColumn("low", F.lit(None).cast("long")))
+    starts = F.expr("if(first IS NULL, if(low < id, sequence(pos, pos + n - 1), array()), filter(transform(first, (d, i) -> if(d < id, pos + i, NULL)), x -> x IS NOT NULL))")
+    spans = found.select("key", "seg", "n", "id", "pos").join(judged, ["key", "seg"]).select("id", starts.alias("s")).filter("size(s) > 0")
+    spans = spans.groupBy("id").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    schema = "id string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept_text string" * keep_text
+    out = packed.join(spans, "id", "left").withColumn("id", F.col("id").cast("string")).mapInPandas(_cut(span_words, keep_text), schema)
+    return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
