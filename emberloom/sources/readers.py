@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import parse_multi_select, strip
+
 RAW_ENTRY = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "summary", "location", "source")])
 ENTRY = T.StructType([*RAW_ENTRY.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 ASSIGNMENT = T.StructType([*(T.StructField(c, T.StringType()) for c in ("id", "name", "summary", "location")), T.StructField("clusterId", T.IntegerType()), T.StructField("confidence", T.DoubleType())])
@@ -115,8 +117,6 @@ def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     by_name = {f.name: f.dataType for f in schema.fields}
     flat = T.StructType([T.StructField(n, T.StringType() if isinstance(by_name.get(n), T.ArrayType | None) else by_name[n]) for n in names])
     rows = spark.read.schema(flat).csv(path, header=True, multiLine=True, escape='"', enforceSchema=True)
-    from ..functions.text import parse_multi_select
-
     def column(f: T.StructField) -> Column:
         if f.name not in names:
             return F.lit(None).cast(f.dataType).alias(f.name)
@@ -149,4 +149,4 @@ def text_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, body) of text files: the first line and the rest."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("t"))
     parts = F.split("t", "\r?\n", 2)
-    return raw.select("path", F.trim(parts[0]).alias("name"), F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))).alias("body"))
+    return raw.select("path", strip(parts[0]).alias("name"), strip(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))).alias("body"))
