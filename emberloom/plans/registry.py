@@ -739,3 +739,92 @@ def print_retries(spark, sf):
 @query("SELECT event_id AS seq, user_id AS id FROM events ORDER BY event_id DESC LIMIT 10")
 def recent_jobs(spark, sf):
     return queue.recent_jobs(_t(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id")))
+
+
+# ---------------------------------------------------------------- the same views from streams
+
+
+def _stream(spark, df: DataFrame, name: str, files: int = 3):
+    """df as a stream of a few files, a micro-batch each, and a folder for its output."""
+    from .scratch import fresh_folder
+
+    root = fresh_folder(spark, name)
+    df.repartition(files).write.parquet(f"{root}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root
+
+
+@query(_SQL["cdc_list"])
+def stream_cdc_list(spark, sf):
+    stream, root = _stream(spark, _log(spark, sf), "cdc-list")
+    cdc.store_log(stream, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    log = spark.read.schema(cdc.LOG).parquet(f"{root}/log")
+    return cdc.list_view(log).select("id", "created_seq", F.col("payload")["value"].cast("double").alias("value"))
+
+
+@query("SELECT user_id::VARCHAR AS id, max(event_id) AS seq FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+def stream_cdc_state(spark, sf):
+    """Users whose last change is no deletion, from per-id state over a stream in order of seq."""
+    named = _log(spark, sf).withColumn("payload", F.when(F.col("op") != "DELETE", F.create_map(F.lit("yokai_name"), F.lit("n"))))
+    stream, root = _stream(spark, named.repartitionByRange(3, "seq"), "cdc-state", 1)
+
+    def keep(df, epoch):
+        df.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+
+    cdc.keep_state(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{root}/out").groupBy("id").agg(F.max_by(F.struct("shown", "seq"), "seq").alias("s"))
+    return out.filter("s.shown").select("id", "s.seq")
+
+
+@query("SELECT user_id::VARCHAR AS id, count(*) = 1 AS once FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') GROUP BY 1")
+def stream_print_queue(spark, sf):
+    e = _t(spark, sf, "events")
+    states = e.select(F.col("user_id").cast("string").alias("id"), F.lit(True).alias("print_triggered"), (F.col("event_type") != "click").alias("printed"))
+    stream, root = _stream(spark, states, "queue")
+    queue.drain(stream, lambda df: df.select("id", F.lit(True).alias("ok")), f"{root}/log", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{root}/log").groupBy("id").agg((F.count("*") == 1).alias("once"))
+
+
+@query("SELECT doc_id AS id, length(text) AS n FROM documents")
+def stream_incremental_embedding(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    stream, root = _stream(spark, d.union(d), "embed")
+    queue.embed_incrementally(stream, lambda df: df.select("id", F.length("text").alias("n")), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("id", F.col("n").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- remaining small operators
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(n) AS least FROM events, (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM events GROUP BY event_type)) GROUP BY event_type")
+def fold_statistics(spark, sf):
+    e = _t(spark, sf, "events")
+    least = e.groupBy("event_type").count().agg(F.min("count").alias("least"))
+    out = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    return out.join(least, F.lit(True))  # one row
+
+
+@query("SELECT event_id, floor(value * 100 + 0.5) / 100 AS half_up, 1 - 0.06::DOUBLE * (event_id % 5) AS ramp FROM events")
+def score_rounding(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.select("event_id", V.round_half_up(F.col("value"), 2).alias("half_up"), V.ramp(F.col("event_id") % 5).alias("ramp"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS style, CASE c_mktsegment WHEN 'MACHINERY' THEN 'steel' WHEN 'HOUSEHOLD' THEN 'ink' ELSE 'ink' END AS prompt, c_acctbal > 0 AND c_acctbal IS NOT NULL AS rated FROM customer")
+def style_lookup(spark, sf):
+    c = _t(spark, sf, "customer")
+    return c.select("c_custkey", F.col("c_mktsegment").alias("style"), T.label_of(F.col("c_mktsegment"), {"MACHINERY": "steel", "HOUSEHOLD": "ink"}, "ink").alias("prompt"), (F.col("c_acctbal") > 0).alias("rated"))
+
+
+@query("SELECT o_custkey AS id, max(o_orderkey) AS seq, count(*) AS changes FROM orders GROUP BY 1")
+def upsert_log(spark, sf):
+    """Inserts, updates and upserts of orders as changes of their customers' rows."""
+    from ..sources import writers
+    from .scratch import fresh_folder
+
+    root = fresh_folder(spark, "upsert")
+    o = _t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("id"), "o_orderstatus")
+    writers.insert(o.filter("o_orderkey % 3 = 0"), f"{root}/log", ["o_orderkey"], "id")
+    writers.update(o.filter("o_orderkey % 3 = 1"), f"{root}/log", ["o_orderkey"], "id")
+    writers.upsert(o.filter("o_orderkey % 3 = 2"), f"{root}/log", ["o_orderkey"], "id")
+    log = spark.read.schema(cdc.LOG).parquet(f"{root}/log")
+    return log.groupBy(F.col("id").cast("long").alias("id")).agg(F.max(F.col("payload")["o_orderkey"].cast("long")).alias("seq"), F.count("*").alias("changes"))

@@ -1,6 +1,7 @@
 """Where checkpoints go: the cluster's folder, or a private one where none is named."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -12,3 +13,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -63,6 +63,20 @@ def first_of(spark: SparkSession, candidates: Sequence[tuple[str, Callable[[str]
     return spark.createDataFrame([], schema)
 
 
+def stage_json(spark: SparkSession, url: str, path: str, timeout: float = 60.0) -> str:
+    """Fetch a JSON document once, on the driver, to a path that executors can read; the path."""
+    import json
+    from urllib.request import urlopen
+
+    from .writers import put_bytes
+
+    with urlopen(url, timeout=timeout) as reply:
+        data = reply.read()
+    json.loads(data)  # a damaged reply is not kept
+    put_bytes(spark, path, data)
+    return path
+
+
 def decode_matrix(data: bytes) -> tuple[np.ndarray, int, int]:
     """(matrix, rows of an axis, axes) of a header [rows, columns, axis rows, axes] and
     little-endian float32 values by rows; 128 where the header says 0 rows of an axis."""
