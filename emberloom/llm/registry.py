@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, licenses, mixing, toxicity, warc
+from . import ann, decontam, langid, licenses, mixing, oracles, toxicity, warc
 from .common import scratch_root
 from .neardup import near_duplicates
 from .shards import ShardStore
@@ -78,7 +78,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, package, module = "coalesce(source, 'none')", "concat('p', doc_id div 7 % 20)", "concat('m', doc_id div 11 % 10)"
     folder = f"CASE WHEN doc_id % 10 <> 0 OR doc_id div 10 % 3 = 2 THEN concat_ws('/', {top}, {package}, {module}) WHEN doc_id div 10 % 3 = 1 THEN concat_ws('/', {top}, {package}) ELSE {top} END"
     name = "if(doc_id % 10 = 0, concat('LICENSE-', doc_id), concat('f', doc_id, '.txt'))"
-    return licenses.scan_licenses(docs.withColumn("path", F.expr(f"concat({folder}, '/', {name})")))
+    out = licenses.scan_licenses(docs.withColumn("path", F.expr(f"concat({folder}, '/', {name})")))
+    return out.withColumn("score", F.round("score", 9))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,4 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mix": mixing.ORACLE, "op3_revisits": warc.ORACLE}
+    return {
+        "op1_substring_dedup": oracles.SUBSTRING,
+        "op2_poisson_mix": mixing.ORACLE,
+        "op3_revisits": warc.ORACLE,
+        "op8_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op10_licenses": oracles.LICENSES,
+    }

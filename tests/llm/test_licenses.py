@@ -21,8 +21,8 @@ def brute_text(text):
             dot = sum(x * v.get(w, 0) for w, x in u.items())
             if dot:
                 s = dot / math.sqrt(sum(x * x for x in u.values())) / math.sqrt(sum(x * x for x in v.values()))
-                if s >= THRESHOLD and (best is None or (-round(s, 12), name) < (-best[0], best[1])):
-                    best = round(s, 12), name
+                if s >= THRESHOLD and (best is None or (-round(s, 9), name) < (-best[0], best[1])):
+                    best = round(s, 9), name
     return best
 
 
@@ -46,7 +46,7 @@ def brute(rows):
 
 
 def run(df):
-    return sorted(((r.doc_id, r.path, r.license, r.score and round(r.score, 12), r.origin, r.from_path) for r in df.collect()), key=str)
+    return sorted(((r.doc_id, r.path, r.license, r.score and round(r.score, 9), r.origin, r.from_path) for r in df.collect()), key=str)
 
 
 def test_query_same_as_brute_force(spark, sf):
