@@ -708,7 +708,7 @@ _LOG = "e AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'signup' THE
 def _log(spark, sf):
     e = _t(spark, sf, "events")
     op = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
-    payload = F.create_map(F.lit("yokai_name"), F.when(F.col("event_type") == "purchase", "").otherwise("named"), F.lit("value"), F.col("value").cast("string"))
+    payload = F.create_map(F.lit("name"), F.when(F.col("event_type") == "purchase", "").otherwise("named"), F.lit("value"), F.col("value").cast("string"))
     return e.select(op.alias("op"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.when(op != "DELETE", payload).alias("payload"))
 
 
@@ -764,7 +764,7 @@ def stream_cdc_list(spark, sf):
 @query("SELECT user_id::VARCHAR AS id, max(event_id) AS seq FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def stream_cdc_state(spark, sf):
     """Users whose last change is no deletion, from per-id state over a stream in order of seq."""
-    named = _log(spark, sf).withColumn("payload", F.when(F.col("op") != "DELETE", F.create_map(F.lit("yokai_name"), F.lit("n"))))
+    named = _log(spark, sf).withColumn("payload", F.when(F.col("op") != "DELETE", F.create_map(F.lit("name"), F.lit("n"))))
     stream, root = _stream(spark, named.repartitionByRange(3, "seq"), "cdc-state", 1)
 
     def keep(df, epoch):

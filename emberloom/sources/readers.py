@@ -17,6 +17,7 @@ ENTRY = T.StructType([*RAW_ENTRY.fields, T.StructField("embedding", T.ArrayType(
 ASSIGNMENT = T.StructType([*(T.StructField(c, T.StringType()) for c in ("id", "name", "summary", "location")), T.StructField("clusterId", T.IntegerType()), T.StructField("confidence", T.DoubleType())])
 CLUSTER_LABEL = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("size", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("representativeWords", "representativeYokai", "allYokai")), T.StructField("label", T.StringType())])
 
+# The columns of stored surveys and documents.
 _TEXT, _INT, _FLAG, _TIME, _LIST = T.StringType(), T.IntegerType(), T.BooleanType(), T.TimestampType(), T.ArrayType(T.StringType())
 SURVEY = T.StructType(
     [T.StructField("id", _TEXT, False), T.StructField("created_at", _TIME, False)]

@@ -51,7 +51,7 @@ def list_view(log: DataFrame, latest: int | None = 200) -> DataFrame:
     return out if latest is None else out.limit(latest)
 
 
-def gallery_view(log: DataFrame, name: str = "yokai_name") -> DataFrame:
+def gallery_view(log: DataFrame, name: str = "name") -> DataFrame:
     """(id, shown_seq, payload) of the rows that have had a name since their last DELETE."""
     empty = F.create_map().cast("map<string,string>")
     start = F.struct(F.lit(None).cast("long").alias("shown"), empty.alias("payload"))
@@ -78,7 +78,7 @@ def store_log(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Strea
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def keep_state(stream: DataFrame, name: str = "yokai_name") -> DataFrame:
+def keep_state(stream: DataFrame, name: str = "name") -> DataFrame:
     """(id, seq, shown, payload_json) updates of the gallery view, by per-id state."""
     import json
 

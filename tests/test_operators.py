@@ -45,8 +45,8 @@ def test_blocked_neighbours_equal_brute_force(spark, monkeypatch):
 
 def test_first_duplicate_hides_later_ones(spark):
     raw = spark.createDataFrame([(0, "河童[1]", "\n\n　　　　　　　　　　　　"), (1, "天狗", "山にいる天狗の話である。"), (2, "天狗[2]", "ほかの天狗の長い長い話。"), (3, "鬼", "短い"), (4, "雪女", "[1]" * 12), (5, "雪女", "雪の夜に現れる女である。")], "ordinal long, name string, detail string")
-    got = corpus.clean_corpus(raw, "s", "yokai").orderBy("id").collect()
-    assert [(r.id, r.name) for r in got] == [("yokai-0001", "天狗")]
+    got = corpus.clean_corpus(raw, "s", "item").orderBy("id").collect()
+    assert [(r.id, r.name) for r in got] == [("item-0001", "天狗")]
 
 
 def test_pairs_sharing_two_regions_come_twice(spark):

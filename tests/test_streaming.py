@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from emberloom.streaming import cdc, queue
 
 LOG = [
-    ("INSERT", "a", 1, {"yokai_name": "", "x": "1"}),
-    ("UPDATE", "a", 2, {"yokai_name": "n"}),
-    ("UPDATE", "a", 3, {"yokai_name": ""}),
-    ("UPDATE", "b", 4, {"yokai_name": "late"}),
-    ("INSERT", "c", 5, {"yokai_name": "c"}),
+    ("INSERT", "a", 1, {"name": "", "x": "1"}),
+    ("UPDATE", "a", 2, {"name": "n"}),
+    ("UPDATE", "a", 3, {"name": ""}),
+    ("UPDATE", "b", 4, {"name": "late"}),
+    ("INSERT", "c", 5, {"name": "c"}),
     ("DELETE", "c", 6, None),
     ("UPDATE", "c", 7, {"x": "9"}),
     ("INSERT", "d", 8, {"x": "1"}),
@@ -22,13 +22,13 @@ def log(spark):
 
 def test_list_view_needs_an_insert(spark):
     got = cdc.list_view(log(spark)).collect()
-    assert [(r.id, r.payload) for r in got] == [("d", {"x": "1"}), ("a", {"x": "1", "yokai_name": ""})]
+    assert [(r.id, r.payload) for r in got] == [("d", {"x": "1"}), ("a", {"x": "1", "name": ""})]
     assert [r.id for r in cdc.list_view(log(spark), 1).collect()] == ["d"]
 
 
 def test_gallery_keeps_named_rows(spark):
     got = {r.id: (r.shown_seq, r.payload) for r in cdc.gallery_view(log(spark)).collect()}
-    assert got == {"a": (2, {"x": "1", "yokai_name": ""}), "b": (4, {"yokai_name": "late"})}
+    assert got == {"a": (2, {"x": "1", "name": ""}), "b": (4, {"name": "late"})}
 
 
 def test_streams_equal_batch(spark, tmp_path):
