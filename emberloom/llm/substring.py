@@ -198,9 +198,10 @@ def _with_lists(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame,
             yield pdf.iloc[begin:], held
 
 
-def _occurrences(span: int):
+def _occurrences(span: int, firsts: bool = False):
     """The stretches of texts that belong to shared anchors; hot ones window by window.
-    pos holds the first word in the text and, above it, a checksum of the text."""
+    pos holds the first word in the text and, above it, a checksum of the text.
+    firsts: of a batch's equal stretches only the first document's, without pos."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -216,9 +217,16 @@ def _occurrences(span: int):
             seg = np.concatenate((_hashes(hasher, h, at[cold], n[cold] + span - 1), whole[1]))
             doc = np.concatenate((d[cold], whole[2]))
             start = np.concatenate((at[cold], whole[3])) - first[doc]
+            if firsts:
+                ids = part["id"].to_numpy(np.int64)[doc]
+                order = np.lexsort((ids, seg, key))
+                k, s = key[order], seg[order]
+                one = order[np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))] if len(order) else order
+                yield pd.DataFrame({"key": key[one].view(np.int64), "seg": seg[one].view(np.int64), "hot": one >= cold.sum(), "id": ids[one]})
+                continue
             sums = np.array([_checksum(x) for x in held], np.int64)
             count = np.concatenate((n[cold], np.ones(len(whole[0]), np.int64)))
-            yield pd.DataFrame({"key": key.view(np.int64), "seg": seg.view(np.int64), "n": count, "hot": np.arange(len(key)) >= cold.sum(), "id": part["id"].to_numpy(np.int64)[doc], "pos": (sums[doc] << 32) | start})
+            yield pd.DataFrame({"key": key.view(np.int64), "seg": seg.view(np.int64), "n": count, "id": part["id"].to_numpy(np.int64)[doc], "pos": (sums[doc] << 32) | start})
 
     return run
 
@@ -317,18 +325,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("list"), F.collect_list("hot").alias("hot"))
     # All joins with docs are left joins of the same rows, so that their texts are shuffled once.
     packed = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_pack, "id string, size int, packed binary").withColumn("id", F.col("id").cast("long"))
-    found = packed.join(lists, "id", "left").mapInPandas(_occurrences(span_words), "key long, seg long, n int, hot boolean, id long, pos long")
+    listed = packed.join(lists, "id", "left")
+    found = listed.mapInPandas(_occurrences(span_words), "key long, seg long, n int, id long, pos long")
     # Different stretches of a minimiser, each named by its first document. One that is alone has
     # nothing to be matched with; the others go to a shard, sent by their first documents.
-    firsts = found.repartition("key").groupBy("key", "seg").agg(F.min("id").alias("low"), F.first("hot").alias("hot"))
+    heads = listed.mapInPandas(_occurrences(span_words, firsts=True), "key long, seg long, hot boolean, id long")
+    # The filter keeps nothing out: a later join would add it to one of the two uses only.
+    firsts = heads.filter("key IS NOT NULL AND seg IS NOT NULL").repartition("key").groupBy("key", "seg").agg(F.min("id").alias("low"), F.first("hot").alias("hot"))
     firsts = firsts.withColumn("alone", F.count("*").over(Window.partitionBy("key")) == 1)
-    lone = firsts.filter("alone").select("key", "seg", "low", F.lit(None).cast("array<long>").alias("first"))
+    # hot is named in both branches (it is never null), so that their shuffle is one.
+    lone = firsts.filter("alone").select("key", "seg", "low", F.when(F.col("hot").isNull(), F.array().cast("array<long>")).alias("first"))
     senders = firsts.filter("NOT alone").groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("list"), F.collect_list("seg").alias("segs"), F.collect_list("hot").alias("hot"))
     refs = packed.join(senders, "id", "left").mapInPandas(_references(span_words), "key long, seg long, low long, words binary")
     shards = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span_words, shard_words), "key long, seg long, first array<long>")
     judged = lone.unionByName(shards.dropDuplicates(["key", "seg"]).withColumn("low", F.lit(None).cast("long")))
     starts = F.expr("if(first IS NULL, if(low < id, sequence(pos, pos + n - 1), array()), filter(transform(first, (d, i) -> if(d < id, pos + i, NULL)), x -> x IS NOT NULL))")
-    spans = found.select("key", "seg", "n", "id", "pos").join(judged, ["key", "seg"]).select("id", starts.alias("s")).filter("size(s) > 0")
+    spans = found.join(judged, ["key", "seg"]).select("id", starts.alias("s")).filter("size(s) > 0")
     spans = spans.groupBy("id").agg(F.flatten(F.collect_list("s")).alias("starts"))
     schema = "id string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept_text string" * keep_text
     out = packed.join(spans, "id", "left").withColumn("id", F.col("id").cast("string")).mapInPandas(_cut(span_words, keep_text), schema)
