@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, text_chunks
 
-SAMPLE_ROWS, SAMPLE_WORDS, N_FEATURES, FOLDS, RIDGE, LEAST_DOCS = 6000, 4096, 128, 5, 1.0, 5
+SAMPLE_ROWS, SAMPLE_WORDS, N_FEATURES, FOLDS, RIDGE, LEAST_DOCS = 4000, 4096, 128, 5, 1.0, 5
 
 
 @dataclass
@@ -135,7 +135,7 @@ def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for ids, held in text_chunks(pdf.index, pdf["text"]):
             h, _, _, first, _ = hasher.batch([(x or b"").lower() for x in held])
-            sets = [np.unique(h[a:b])[:SAMPLE_WORDS].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
+            sets = [np.unique(h[a:b])[:SAMPLE_WORDS].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             part = pdf.loc[ids].drop(columns="text")
             yield part.assign(words=sets)
 
@@ -147,13 +147,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     held = texts.join(F.broadcast(sample), "id")  # at most sample_rows rows
     ys = [f"y{k}" for k in range(len(categories))]
-    rows = held.mapInPandas(_distinct_words, "id long, " + ", ".join(f"{y} int" for y in ys) + ", words array<long>").collect()
-    rows = sorted(rows, key=lambda r: (r.id, *[r[y] for y in ys], r.words))
-    once = {}
-    for r in rows:  # texts of equal words once, else a group of copies would teach its own words
-        once.setdefault(tuple(r.words), r)
-    sets = [np.asarray(r.words, np.int64).view(np.uint64) for r in once.values()]
-    y = np.array([[r[y] for y in ys] for r in once.values()]).reshape(len(sets), len(ys))
+    rows = held.mapInPandas(_distinct_words, "id long, " + ", ".join(f"{y} int" for y in ys) + ", words binary").orderBy("id", *ys, "words").limit(2 * sample_rows).collect()
+    once: dict[bytes, list[int]] = {}
+    while rows:  # texts of equal words once, else a group of copies would teach its own words
+        r = rows.pop()
+        once[bytes(r.words)] = [r[y] for y in ys]
+    sets = [np.frombuffer(words, np.uint64) for words in once]
+    y = np.array(list(once.values())).reshape(len(sets), len(ys))
     return fit_chain(sets, y, list(categories))
 
 
