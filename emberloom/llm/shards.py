@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The names of so many shards at most (some 10 MB) are broadcast; those of more are joined by shuffle.
+BROADCAST_SHARDS = 50_000
+
+
 class CommitConflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -183,6 +187,8 @@ class ShardStore:
         file, at = (f"{x}_{uuid.uuid4().hex}" for x in ("file", "at"))
         place = self.spark.createDataFrame([("/".join(p.split("/")[-2:]), k) for p, k in numbers.items()], f"{at} string, {column} long")
         rows = self._read(shards).withColumn(file, F.regexp_extract(F.input_file_name(), "[^/]+/[^/]+$", 0))
+        if len(numbers) <= BROADCAST_SHARDS:
+            place = F.broadcast(place)
         return rows.join(place, F.col(file) == F.col(at)).drop(file, at)
 
     def read(self, version: int | None = None, shard_col: str | None = None) -> DataFrame:
