@@ -11,10 +11,13 @@ Candidates are verified on the full shingle sets, recomputed from the texts. No
 bucket emits all its pairs. Rows of equal shingle sets are one node. In each
 bucket every member is checked against the bucket's most central member (the one
 that meets most others over all buckets, so an original rather than one of its
-copies); components follow. Buckets that still hold several components get a new
-centre from outside their largest component until the pairs left over are few
-enough, in proportion to the nodes, to be checked one by one. So each pair that
-shares a key is either checked or already in one component, and no link is lost.
+copies); components follow. Where buckets still hold several components and the pairs left
+over are few, in proportion to the nodes, they are checked one by one. Where they
+are many, members whose sizes and lone shingles rule out all others go, and the rest
+of a bucket are counted against each other in blocks of sets; where even that is too
+much, members outside the largest component first take turns as centres. So each
+pair that shares a key is checked, cannot be similar, or is already in one
+component: no link is lost.
 
 Defined results: null, empty or blank texts have an empty set, no links and
 their own id as component; a row with null id takes no part and has a null
@@ -29,15 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Hasher, connected_components, mix, ngrams, stage_table, text_chunks
 
 #: So many unchecked pairs for each node, at most, are checked one by one.
 PAIRS_PER_NODE = 8
-#: For each of them, so many may be looked at by their sizes and signatures.
-LOOKS_PER_NODE = 50
+#: For each of them, so many may be counted in blocks.
+LOOKS_PER_PAIR = 50
+#: Members of a bucket that are centres in one round.
+TURNS = 4
+#: Sets of one side of a matrix of intersections.
+BLOCK = 256
 
 
 def shingle_sets(hasher: Hasher, held: list[bytes], width: int) -> list[np.ndarray]:
@@ -163,7 +170,7 @@ def _possible(own: DataFrame, texts: DataFrame, shingle_words: int, num: int, de
     once = held.groupBy("id").agg(F.count("*").alias("texts")).filter("texts = 1").select("id")  # an id of several texts is left in
     own = own.drop("u").join(alone.join(once, "id").withColumnRenamed("id", "node"), "node", "left").withColumn("u", F.coalesce("alone", F.lit(0))).drop("alone")
     least = own.groupBy("slot", "sub").agg(F.min("n").alias("least"))
-    return own.join(least, ["slot", "sub"]).filter(F.expr(f"{den} * (n - u) >= {num} * (least + u)")).select("node", "component", "n", "u", "subs", "slot", "sub")
+    return own.join(least, ["slot", "sub"]).filter(F.expr(f"{den} * (n - u) >= {num} * (least + u)")).select("node", "component", "weight", "n", "u", "subs", "slot", "sub")
 
 
 def _unlike(own: DataFrame, tables: int, num: int, den: int) -> DataFrame:
@@ -178,6 +185,54 @@ def _unlike(own: DataFrame, tables: int, num: int, den: int) -> DataFrame:
     return x.join(y, F.expr(on)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
+def _by_blocks(own: DataFrame, texts: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that join unlike components, all pairs of a bucket counted block by block:
+    two blocks of BLOCK sets make one matrix of intersections, and of its links only those that
+    join something new are passed on."""
+    by = ["slot", "sub"]
+    n = F.row_number().over(Window.partitionBy(*by).orderBy("node"))
+    blocks = own.select(*by, "node", "component", n.alias("n")).withColumn("block", ((F.col("n") - 1) / BLOCK).cast("int"))
+    last = blocks.groupBy(*by).agg(F.max("block").alias("last"))
+    rows = blocks.join(last, by).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    rows = rows.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    rows = rows.join(texts.select(F.col("id").alias("node"), "text"), "node")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hasher = Hasher()
+        sets = [shingle_sets(hasher, [t.encode("utf-8", "replace")], shingle_words)[0] for t in pdf["text"]]
+        ids, comp, block = pdf["node"].tolist(), pdf["component"].tolist(), pdf["block"].to_numpy()
+        x, y = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
+        size = np.array([len(s) for s in sets])
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        word, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+        both = np.zeros((len(x), len(y)), np.float32)
+        shared = np.cumsum(count > 1) - 1
+        keep = count[col] > 1
+        col, of = shared[col[keep]], of[keep]
+        for at in range(0, int((count > 1).sum()), 8192):
+            m = np.zeros((len(sets), 8192), np.float32)
+            part = (col >= at) & (col < at + 8192)
+            m[of[part], col[part] - at] = 1
+            both += m[x] @ m[y].T
+        linked = den * both >= num * (size[x][:, None] + size[y][None, :] - both)
+        root, out = {c: c for c in comp}, []
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        for p, q in zip(*np.nonzero(linked), strict=True):
+            p, q = int(x[p]), int(y[q])
+            c, d = find(comp[p]), find(comp[q])
+            if c != d:
+                root[max(c, d)] = min(c, d)
+                out.append((ids[p], ids[q]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy(*by, "i", "j").applyInPandas(run, "a long, b long")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den: int, tables: int) -> DataFrame:
     """(node, component) of the linked nodes."""
     buckets = _buckets(nodes, tables)
@@ -195,29 +250,34 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den:
     centre = F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")
     pairs = buckets.join(buckets.groupBy("key").agg(centre), "key").filter("node <> centre").select(*ordered("node", "centre")).distinct()
     known = checked(pairs)
-    left = buckets.filter("c > 2").select("key", "node", "weight")
-    while True:
-        comps = connected_components(known.filter("ok"))
-        left = left.select("key", "node", "weight").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = left.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_ = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).filter("k > 1")
-        left = stage_table(left.join(open_, "key"), "nd-open")
-        # Pairs of unlike components are listed by their first common A[i], so each comes once.
-        still = left.select("node", "component").distinct().join(nodes.select("node", "n", "subs"), "node")
-        own = stage_table(still.select("node", "component", "n", F.lit(0).alias("u"), "subs", F.posexplode(F.slice("subs", 1, tables)).alias("slot", "sub")), "nd-own")
-        cross = _cross(own)
-        if not cross:
-            return comps
-        if cross > few:
-            own = stage_table(_possible(own, texts, shingle_words, num, den), "nd-possible")
-            cross = _cross(own)
-        if cross <= LOOKS_PER_NODE * few:
-            pairs = stage_table(_unlike(own, tables, num, den).join(known, ["a", "b"], "left_anti"), "nd-pairs")
-            if cross <= few or pairs.count() <= few:
-                return connected_components(known.union(checked(pairs)).filter("ok"))
-        # The members outside a bucket's largest component take turns as its centre.
-        outside = left.filter("component <> largest").groupBy("key").agg(centre)
-        left = left.drop("largest", "k").join(outside, "key")
-        pairs = left.filter("node <> centre").select(*ordered("node", "centre")).distinct().join(known, ["a", "b"], "left_anti")
+    comps = connected_components(known.filter("ok"))
+    joined = buckets.filter("c > 2").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    still = joined.join(open_, "key", "left_semi").groupBy("node", "component").agg(F.first("weight").alias("weight"))
+    # From here on buckets are those of A alone: fewer, and no pair of a table is lost.
+    rows = still.join(nodes.select("node", "n", "subs"), "node").select("node", "component", "weight", "n", F.lit(0).alias("u"), "subs", F.posexplode(F.slice("subs", 1, tables)).alias("slot", "sub"))
+    own, pruned = stage_table(rows, "nd-own"), False
+    by = ["slot", "sub"]
+    while cross := _cross(own):
+        if cross <= few:
+            pairs = _unlike(own, tables, num, den).join(known, ["a", "b"], "left_anti")
+            return connected_components(known.union(checked(pairs)).filter("ok"))
+        if not pruned:
+            own, pruned = stage_table(_possible(own, texts, shingle_words, num, den), "nd-possible"), True
+            continue
+        if cross <= LOOKS_PER_PAIR * few:
+            links = stage_table(_by_blocks(own, texts, shingle_words, num, den), "nd-blocks")
+            return connected_components(known.filter("ok").select("a", "b").union(links))
+        # The most central members outside a bucket's largest component take their turns as centres.
+        largest = own.groupBy(*by, "component").agg(F.count("*").alias("c")).groupBy(*by).agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+        turn = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), "node"))
+        centres = own.join(largest, by).filter("component <> largest").withColumn("turn", turn).filter(F.col("turn") <= TURNS)
+        centres = stage_table(centres.select(*by, F.col("node").alias("centre"), F.col("component").alias("of")), "nd-centres")
+        pairs = own.join(centres, by).filter("component <> of").select(*ordered("node", "centre")).distinct().join(known, ["a", "b"], "left_anti")
         known = stage_table(known.union(checked(pairs)), "nd-known")
-        left = left.filter("node <> centre").select("key", "node", "weight")
+        comps = connected_components(known.filter("ok"))
+        own = own.join(centres.withColumnRenamed("centre", "node"), [*by, "node"], "left_anti").drop("component")
+        own = own.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = own.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(*by)
+        own = stage_table(own.join(mixed, by, "left_semi").select("node", "component", "weight", "n", "u", "subs", *by), "nd-own")
+    return comps

@@ -93,8 +93,10 @@ def test_large_group_of_unlike_copies(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 4)
-    for pairs, looks in ((0.5, 50), (0.1, 0)):  # after pruning, by turns
-        monkeypatch.setattr(neardup, "PAIRS_PER_NODE", pairs)
-        monkeypatch.setattr(neardup, "LOOKS_PER_NODE", looks)
+    monkeypatch.setattr(neardup, "PAIRS_PER_NODE", 0.02)
+    monkeypatch.setattr(neardup, "TURNS", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    for looks in (10_000, 0):  # in blocks, by turns alone
+        monkeypatch.setattr(neardup, "LOOKS_PER_PAIR", looks)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle_words=4, tables=12).collect()}
         assert got == want
