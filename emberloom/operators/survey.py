@@ -21,7 +21,7 @@ def crosstab(df: DataFrame, pre: str, post: str, total: str = "All") -> DataFram
 
 
 def crosstab_wide(df: DataFrame, pre: str, post: str, values: list[str], total: str = "All") -> DataFrame:
-    return crosstab(df, pre, post, total).groupBy("pre").pivot("post", [*values, total]).agg(F.coalesce(F.first("n"), F.lit(0)))
+    return crosstab(df, pre, post, total).groupBy("pre").pivot("post", [*values, total]).agg(F.first("n")).na.fill(0, [*values, total])
 
 
 def shift_rate(df: DataFrame, pre: str, post: str, by: str | None = None) -> DataFrame:
