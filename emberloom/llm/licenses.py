@@ -62,10 +62,12 @@ class Matcher:
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append((name, {w: x / norm for w, x in v.items()}))
         # Light words: even a line of nothing else stays below the threshold with every template.
+        # Short words come first, so that the others are long and seldom met.
         light: set[str] = set()
-        for w in sorted(df, key=lambda w: (-df[w], w)):
+        for w in sorted(df, key=lambda w: (len(w), w)):
             if all(sum(x * x for u, x in v.items() if u in light or u == w) < (threshold - 1e-9) ** 2 for _, v in self.vectors):
                 light.add(w)
+        self.words = sorted(set(df) - light)
         self.heavy = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, set(df) - light))) + r")(?![^\W_])")
 
     def line(self, text: str) -> tuple[float, str] | None:
@@ -85,6 +87,8 @@ class Matcher:
     def text(self, text: str | None) -> tuple[float, str] | None:
         best = None
         text = (text or "").lower()
+        if not any(w in text for w in self.words):
+            return None
         seen = -1
         for hit in self.heavy.finditer(text):
             if hit.start() < seen:
