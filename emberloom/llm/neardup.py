@@ -187,13 +187,12 @@ def _unlike(own: DataFrame, tables: int, num: int, den: int) -> DataFrame:
 
 def _by_blocks(own: DataFrame, texts: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
     """(a, b): links that join unlike components, all pairs of a bucket counted block by block:
-    two blocks of BLOCK sets make one matrix of intersections, and of its links only those that
+    two blocks of about BLOCK sets make one matrix of intersections, and of its links only those that
     join something new are passed on."""
     by = ["slot", "sub"]
-    n = F.row_number().over(Window.partitionBy(*by).orderBy("node"))
-    blocks = own.select(*by, "node", "component", n.alias("n")).withColumn("block", ((F.col("n") - 1) / BLOCK).cast("int"))
-    last = blocks.groupBy(*by).agg(F.max("block").alias("last"))
-    rows = blocks.join(last, by).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    last = own.groupBy(*by).agg(F.floor((F.count("*") - 1) / BLOCK).alias("last"))
+    rows = own.select(*by, "node", "component").join(last, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     rows = rows.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
     rows = rows.join(texts.select(F.col("id").alias("node"), "text"), "node")
 
