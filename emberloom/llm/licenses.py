@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage_table
+
 # Licence headers and characteristic sentences of public licence texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -112,7 +114,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
 
     src = files.select(F.col(id_col).cast("string").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     own = src.mapInPandas(run, "id string, path string, license string, score double")
-    own = own.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    own = stage_table(own.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)), "licenses")  # read three times
 
     name = F.regexp_extract("path", "([^/]*)$", 1)
     held = own.filter(F.col("license").isNotNull() & name.rlike(LICENCE_FILE))
