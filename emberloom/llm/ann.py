@@ -3,14 +3,15 @@
 Each table has `projections` functions floor((a . v + b) / w) with Gaussian a;
 outer slots are merged, so a table has at most SLOTS ** projections buckets and
 the counts of all buckets are of bounded size. For a query, the chance that a
-neighbour at the typical distance r lies in a bucket is the product, over the
+neighbour at the distance r lies in a bucket is the product, over the
 functions, of the normal probability that a . (v - q), of deviation r, leads into
-the bucket's slot. Occupied buckets are visited in order of that chance until
+the bucket's slot. r is the query's own: its k-th nearest distance in the sample, so
+groups of copies make it small for their members only. Occupied buckets are visited in order of that chance until
 their share of it reaches `success` and they hold at least `least` candidates for
 each neighbour wanted. Candidates of all tables are ranked by exact Euclidean
 distance in double precision.
 
-The dimension, the scale of the projections and r come from a sample of at most
+The dimension, the scale of the projections and the r come from a sample of at most
 SAMPLE vectors (those of smallest id hash); every vector is indexed. Buckets are
 cut into blocks of about BLOCK vectors and visits are sent to every block, so a
 bucket that holds a third of all vectors is many tasks, each of bounded size.
@@ -53,11 +54,12 @@ class Tables:
         self.centre, spread = p.mean(axis=0).reshape(tables, projections), p.std(axis=0).reshape(tables, projections)
         self.width = np.maximum(1.5 * spread, 1e-12)
         self.offset = rng.random((tables, projections)) * self.width
-        near = []
-        for q in sample[:200]:  # the distance of the k-th nearest in the sample: at least that in all rows
-            d = np.sort(np.sqrt(((sample - q) ** 2).sum(axis=1)))
-            near.append(d[min(k, len(d) - 1)])
-        self.r = max(float(np.median(near)), 1e-9)
+        self.sample, self.k = sample, k
+
+    def radius(self, q: np.ndarray) -> float:
+        """The distance of a query's k-th nearest in the sample: at least that in all rows."""
+        k = min(self.k, len(self.sample) - 1)  # one more, as the query may be in the sample
+        return max(float(np.sqrt(np.partition(((self.sample - q) ** 2).sum(axis=1), k)[k])), 1e-9)
 
     def places(self, v: np.ndarray, t: int) -> np.ndarray:
         """Where vectors lie in units of slots, counted from the lowest slot."""
@@ -67,10 +69,10 @@ class Tables:
         slots = np.clip(np.floor(self.places(v, t)), 0, SLOTS - 1).astype(np.int64)
         return slots @ SLOTS ** np.arange(slots.shape[1])
 
-    def visits(self, q: np.ndarray, t: int, buckets: np.ndarray, counts: np.ndarray, success: float, least: int) -> np.ndarray:
-        """The occupied buckets to visit for a query, most promising first."""
+    def visits(self, q: np.ndarray, r: float, t: int, buckets: np.ndarray, counts: np.ndarray, success: float, least: int) -> np.ndarray:
+        """The occupied buckets to visit for a query with neighbours at r, most promising first."""
         at = self.places(q[None, :], t)[0]
-        sigma = self.r / self.width[t]
+        sigma = r / self.width[t]
         edges = np.arange(SLOTS + 1, dtype=float)
         edges[0], edges[-1] = -np.inf, np.inf  # outer slots are open
         cdf = np.array([[0.5 * (1 + math.erf((e - x) / (s * math.sqrt(2)))) if np.isfinite(e) else float(e > 0) for e in edges] for x, s in zip(at, sigma, strict=True)])
@@ -136,8 +138,9 @@ def nearest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id",
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, v in zip(pdf["id"].tolist(), pdf["vec"], strict=True):
+                r = hashes.radius(v)
                 for t in range(tables):
-                    seen = hashes.visits(v, t, *own[t], success, least * k)
+                    seen = hashes.visits(v, r, t, *own[t], success, least * k)
                     to = [(t, b, s) for b in seen.tolist() for s in range(blocks[t, b])]
                     yield pd.DataFrame([(*x, i, v) for x in to], columns=["t", "bucket", "block", "id", "vec"])
 

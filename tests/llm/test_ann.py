@@ -48,3 +48,17 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [3.0, 3.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r.vec_id) for r in nearest_neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert nearest_neighbours(df.limit(0), F.col("vec_id") == 0).collect() == []
+
+
+def test_recall_beside_large_groups_of_copies(spark):
+    rng = np.random.default_rng(3)
+    copies = rng.normal(size=(2, 32))
+    rows = [(i, (copies[i // 100 % 10 // 3] if i // 100 % 10 < 6 else rng.normal(size=32)).tolist()) for i in range(4000)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    outside = [q for q in want if q // 100 % 10 >= 6]
+    assert sum(len({i for _, i in want[q]} & got[q]) for q in outside) / (10 * len(outside)) >= 0.9
+    assert all({i for _, i in want[q]} == got[q] for q in want if q not in outside)
