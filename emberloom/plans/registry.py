@@ -503,14 +503,18 @@ def lookup_misses(spark, sf):
     return names.lookup_misses(c, c.filter("c_nationkey = 0 AND c_custkey % 50 = 0"))
 
 
-@query("""WITH v AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT p_brand, sum(n)::BIGINT AS m, list(row(p_type, n) ORDER BY n DESC, p_type) AS s FROM v GROUP BY p_brand),
+def _percent(n: str, m: str) -> str:
+    """n of m in whole percents, halves to even, on integers."""
+    return f"(({n} * 200 + {m}) // (2 * {m}) - CASE WHEN ({n} * 200 + {m}) % (4 * {m}) = 2 * {m} THEN 1 ELSE 0 END)::INT"
+
+
+@query(f"""WITH v AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT p_brand, sum(n)::BIGINT AS m, list(row(p_type, n) ORDER BY n DESC, p_type) AS s FROM v GROUP BY p_brand),
 x AS (SELECT p_brand, m, s[1][1] AS v1, s[1][2] AS n1, list_filter(s, lambda z: z[2] / m >= 0.2::DOUBLE AND z[1] <> s[1][1]) AS more FROM t)
-SELECT p_brand, concat_ws('；', '「' || v1 || '」型 ' || CASE WHEN n1 * 100.0 / m % 1 = 0.5 THEN 'tie' ELSE round(n1 * 100.0::DOUBLE / m)::INT::VARCHAR END || '%', CASE WHEN len(more) > 0 THEN array_to_string(list_transform(more, lambda z: z[1] || ' ' || round(z[2] * 100.0::DOUBLE / m)::INT || '%'), '；') END) AS description FROM x WHERE n1 * 1000 // m % 10 <> 5""")
+SELECT p_brand, concat_ws('；', '「' || v1 || '」型 ' || {_percent('n1', 'm')} || '%', CASE WHEN len(more) > 0 THEN array_to_string(list_transform(more, lambda z: z[1] || ' ' || {_percent('z[2]', 'm')} || '%'), '；') END) AS description FROM x""")
 def describe_clusters(spark, sf):
     v = _t(spark, sf, "part").groupBy("p_brand", F.col("p_type").alias("value")).agg(F.count("*").alias("n"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
     t = v.groupBy("p_brand").agg(F.sum("n").alias("m"), listed.alias("s"))
-    t = t.filter(F.expr("s[0].n * 1000 div m % 10 <> 5"))  # engines differ on halves
     return t.select("p_brand", names.describe(F.col("m"), F.col("s"), F.col("s")).alias("description"))
 
 

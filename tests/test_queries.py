@@ -49,3 +49,15 @@ def test_clusters_are_large_enough(spark, sf):
     df = registry.queries()["mutual_neighbour_clusters"](spark, sf)
     assert df.filter("cluster_id >= 0").groupBy("cluster_id").count().filter("count < 5").count() == 0
     assert df.filter("cluster_id = -1 AND confidence IS NOT NULL").count() == 0
+
+
+def test_every_cluster_is_described(spark, tmp_path):
+    counts = {"A": (31, 9, 9), "B": (33, 40, 127), "C": (1, 1), "D": (5, 3), "E": (25, 15), "F": (156, 100, 540)}
+    rows = [(b, f"t{i}") for b, ns in counts.items() for i, n in enumerate(ns) for _ in range(n)]
+    spark.createDataFrame(rows, "p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_brand: r.description for r in registry.queries()["describe_clusters"](spark, str(tmp_path)).collect()}
+    want = {"A": "「t0」型 63%", "B": "「t2」型 64%；t1 20%", "C": "「t0」型 50%；t1 50%", "D": "「t0」型 62%；t1 38%", "E": "「t0」型 62%；t1 38%", "F": "「t2」型 68%"}
+    assert got == want
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert dict(c.sql(registry.oracle_sql()["describe_clusters"]).fetchall()) == want
