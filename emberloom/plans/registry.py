@@ -733,10 +733,10 @@ def cdc_latest(spark, sf):
     return cdc.latest_state(_log(spark, sf))
 
 
-@query("""WITH a AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type <> 'purchase') AS f, bool_or(event_type = 'purchase') AS ok FROM events WHERE event_id % 7 < 2 GROUP BY 1)
+@query("""WITH e AS (SELECT user_id, event_type = 'purchase' AND coalesce(value, 0) >= 100 AS ok FROM events), a AS (SELECT user_id, count(*) AS n, count(*) FILTER (NOT ok) AS f, bool_or(ok) AS ok FROM e GROUP BY 1)
 SELECT user_id AS id, n AS attempts, greatest(f - 1, 0) AS retries, CASE WHEN ok THEN 'printed' WHEN greatest(f - 1, 0) > 3 THEN 'dropped' ELSE 'queued' END AS outcome FROM a""")
 def print_retries(spark, sf):
-    a = _t(spark, sf, "events").filter("event_id % 7 < 2").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("ok"))
+    a = _t(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.expr("event_type = 'purchase' AND coalesce(value, 0) >= 100").alias("ok"))
     return queue.retry_state(a)
 
 

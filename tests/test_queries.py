@@ -61,3 +61,14 @@ def test_every_cluster_is_described(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert dict(c.sql(registry.oracle_sql()["describe_clusters"]).fetchall()) == want
+
+
+def test_retries_count_every_attempt(spark, tmp_path):
+    rows = [(i, 1, "error", 0.0) for i in range(1, 15)] + [(20, 2, "error", 0.0), (21, 2, "purchase", 100.0), (22, 3, "purchase", 99.0), (27, 3, "purchase", None), (23, 4, "view", 300.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["print_retries"](spark, str(tmp_path)).collect())
+    want = [(1, 14, 13, "dropped"), (2, 2, 0, "printed"), (3, 2, 1, "queued"), (4, 1, 0, "queued")]
+    assert got == want
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(c.sql(registry.oracle_sql()["print_retries"]).fetchall()) == want
