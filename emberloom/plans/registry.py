@@ -267,12 +267,12 @@ def classify_phenomena(spark, sf):
 _PAIRS = "x AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.label <> 0)"
 
 
-def _topic_pairs(spark, sf, cap=500):
+def _topic_pairs(spark, sf):
     e = _t(spark, sf, "embeddings").filter("label <> 0").select(F.col("vec_id").alias("id"), "label")
-    return corpus.sample_pairs(corpus.group_pairs(e, "label"), "topic", cap)
+    return corpus.sample_pairs(corpus.group_pairs(e, "label"), "topic")
 
 
-@query(f"WITH {_PAIRS} SELECT 'topic' AS axis, a, b FROM x ORDER BY md5(a || '|' || b || '|42'), a, b LIMIT 500")
+@query(f"WITH {_PAIRS} SELECT 'topic' AS axis, a, b FROM x ORDER BY md5(a || '|' || b || '|42'), a, b LIMIT 5000")
 def topic_pairs(spark, sf):
     return _topic_pairs(spark, sf)
 
@@ -284,7 +284,7 @@ def region_pairs(spark, sf):
     return corpus.group_pairs(s, "region").groupBy("region").agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("ids"))
 
 
-@query(f"WITH {_PAIRS}, y AS (SELECT a, b FROM x ORDER BY md5(a || '|' || b || '|42'), a, b LIMIT 500) SELECT 'topic' AS axis, a, b FROM y WHERE a IN (SELECT doc_id FROM labels) AND b IN (SELECT doc_id FROM labels)")
+@query(f"WITH {_PAIRS}, y AS (SELECT a, b FROM x ORDER BY md5(a || '|' || b || '|42'), a, b LIMIT 5000) SELECT 'topic' AS axis, a, b FROM y WHERE a IN (SELECT doc_id FROM labels) AND b IN (SELECT doc_id FROM labels)")
 def pairs_with_embeddings(spark, sf):
     have = _t(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     return corpus.pairs_with_embeddings(_topic_pairs(spark, sf), have)
@@ -681,26 +681,30 @@ def bootstrap_interval(spark, sf):
 
 @query()
 def probe_accuracy(spark, sf):
-    got = evaluation.probe(_t(spark, sf, "embeddings"), "embedding", "label", "vec_id", most_folds=3)
+    got = evaluation.probe(_t(spark, sf, "embeddings"), "embedding", "label", "vec_id")
     return spark.createDataFrame([(float(got["accuracy"]), float(got["std"]), int(got["n"]), int(got["classes"]), int(got["folds"]))], "accuracy double, std double, n long, classes long, folds long")
 
 
 def _training_data(spark, sf):
     e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    other = corpus.sample_pairs(corpus.group_pairs(e.select("id", (F.col("id") % 20).alias("g")), "g"), "location", 500)
-    return training.collect_pairs(_topic_pairs(spark, sf).unionByName(other), e)
+    pairs = _topic_pairs(spark, sf)
+    for axis, groups in (("location", 20), ("phenomenon", 13)):
+        g = e.select("id", (F.col("id") % groups).alias("g"))
+        pairs = pairs.unionByName(corpus.sample_pairs(corpus.group_pairs(g, "g"), axis))
+    data = training.collect_pairs(pairs, e)
+    return {k: data[k] for k in AXES if k in data}
 
 
 @query()
 def train_projection(spark, sf):
-    fitted = training.train(_training_data(spark, sf), width=8, epochs=10)
-    rows = [(i, float(r["topic"]), float(r["location"]), float(r["orthogonality"]), float(r["total"])) for i, r in enumerate(fitted.log)]
-    return spark.createDataFrame(rows, "epoch int, topic double, location double, orthogonality double, total double")
+    fitted = training.train(_training_data(spark, sf))
+    rows = [(i, *(float(r[k]) for k in [*AXES, "orthogonality", "total"])) for i, r in enumerate(fitted.log)]
+    return spark.createDataFrame(rows, "epoch int, topic double, location double, phenomenon double, orthogonality double, total double")
 
 
 @query()
 def ablation(spark, sf):
-    rows = training.ablation(_training_data(spark, sf), widths=(4, 8), penalties=(0.0, 0.1), epochs=4)
+    rows = training.ablation(_training_data(spark, sf))
     return spark.createDataFrame([(r["factor"], r["value"], float(r["total"])) for r in rows], "factor string, value double, total double")
 
 

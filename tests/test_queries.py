@@ -72,3 +72,25 @@ def test_retries_count_every_attempt(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(c.sql(registry.oracle_sql()["print_retries"]).fetchall()) == want
+
+
+def test_pairs_up_to_the_cap_of_the_reference(spark, sf):
+    assert registry.queries()["topic_pairs"](spark, sf.replace("0.001", "0.1")).count() == 5000
+
+
+def test_training_queries_run_the_whole_job(spark, sf, monkeypatch):
+    runs = []
+
+    def train(data, width=128, epochs=100, weight_orthogonal=0.1, **kw):
+        runs.append((len(data), width, epochs, weight_orthogonal))
+        return registry.training.Projection({}, [dict.fromkeys([*registry.AXES, "orthogonality", "total"], 1.0)] * epochs)
+
+    monkeypatch.setattr(registry.training, "train", train)
+    assert registry.queries()["train_projection"](spark, sf).count() == 100
+    assert registry.queries()["ablation"](spark, sf).count() == 10
+    grid = [(2, 128, 80, 0.1), (3, 128, 80, 0.1)] + [(3, w, 80, 0.1) for w in (64, 128, 256)] + [(3, 128, 80, x) for x in (0.0, 0.01, 0.1, 0.5, 1.0)]
+    assert runs == [(3, 128, 100, 0.1), *grid]
+
+
+def test_probe_has_five_folds(spark, sf):
+    assert registry.queries()["probe_accuracy"](spark, sf).first().folds == 5
