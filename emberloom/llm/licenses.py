@@ -9,6 +9,10 @@ least `threshold`; a text's is the best of its lines. Lines that share only word
 too light to reach the threshold are passed over; the bound is computed from the
 templates, so this changes no result.
 
+With `windows`, as in the query, every run of as many words as a template has is
+compared with it too, across line breaks, comment marks and within longer lines; the
+best of lines and windows counts (cosines equal to nine digits: the smaller name).
+
 A file without a licence of its own inherits from the nearest ancestor directory
 that holds a licence file (its own directory first): the distinct directories are
 expanded to their ancestors, at most their depth each, and equi-joined.
@@ -63,6 +67,7 @@ class Matcher:
             v = {w: n * self.idf[w] for w, n in bag.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append((name, {w: x / norm for w, x in v.items()}))
+        self.sizes = [sum(bag.values()) for _, bag in bags]
         # Light words: even a line of nothing else stays below the threshold with every template.
         # Short words come first, so that the others are long and seldom met.
         light: set[str] = set()
@@ -86,7 +91,42 @@ class Matcher:
                 best = score, name
         return best
 
-    def text(self, text: str | None) -> tuple[float, str] | None:
+    def windows(self, text: str) -> tuple[float, str] | None:
+        """(cosine, licence) of the best run of words of a template's length, in a lower-cased text."""
+        words = _WORD.findall(text)
+        weigh = [self.idf.get(w, self.unknown) for w in words]
+        known = set(self.words)
+        heavy = [i for i, w in enumerate(words) if w in known]
+        best = None
+        for (name, t), length in zip(self.vectors, self.sizes, strict=True):
+            size, done = min(length, len(words)), 0
+            spans: list[list[int]] = []  # of starts: only windows with a heavy word can reach the threshold
+            for at in heavy:
+                a, done = max(done, at - size + 1), max(done, min(at, len(words) - size) + 1)
+                if a < done:
+                    if spans and spans[-1][1] == a:
+                        spans[-1][1] = done
+                    else:
+                        spans.append([a, done])
+            for a, b in spans:
+                bag, dot, norm = Counter(), 0.0, 0.0
+                for i in range(a, b + size - 1):
+                    w, x = words[i], weigh[i]
+                    norm += x * x * (2 * bag[w] + 1)
+                    bag[w] += 1
+                    dot += x * t.get(w, 0.0)
+                    if i - a >= size:
+                        w, x = words[i - size], weigh[i - size]
+                        bag[w] -= 1
+                        norm -= x * x * (2 * bag[w] + 1)
+                        dot -= x * t.get(w, 0.0)
+                    if i - a >= size - 1 and dot > 0 and dot * dot >= (self.threshold - 1e-6) ** 2 * norm:
+                        got = round(min(dot / math.sqrt(norm), 1.0), 9), name
+                        if got[0] >= self.threshold and (best is None or (-got[0], name) < (-best[0], best[1])):
+                            best = got
+        return best
+
+    def text(self, text: str | None, windows: bool = False) -> tuple[float, str] | None:
         best = None
         text = (text or "").lower()
         if not any(w in text for w in self.words):
@@ -100,16 +140,20 @@ class Matcher:
             got = self.line(text[a:seen])
             if got and (best is None or (-got[0], got[1]) < (-best[0], best[1])):
                 best = got
+        if windows and seen >= 0:
+            got = self.windows(text)
+            if got and (best is None or (-got[0], got[1]) < (-round(best[0], 9), best[1])):
+                best = got
         return best
 
 
-def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """One row per row of files: id, path, license, score, origin (own, inherited or none), from_path."""
     matcher = Matcher(templates, threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [matcher.text(t) or (None, None) for t in pdf["text"]]
+            got = [matcher.text(t, windows) or (None, None) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "path": pdf["path"], "license": [g[1] for g in got], "score": pd.array([g[0] for g in got], "Float64")})
 
     src = files.select(F.col(id_col).cast("string").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))

@@ -78,7 +78,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, package, module = "coalesce(source, 'none')", "concat('p', doc_id div 7 % 20)", "concat('m', doc_id div 11 % 10)"
     folder = f"CASE WHEN doc_id % 10 <> 0 OR doc_id div 10 % 3 = 2 THEN concat_ws('/', {top}, {package}, {module}) WHEN doc_id div 10 % 3 = 1 THEN concat_ws('/', {top}, {package}) ELSE {top} END"
     name = "if(doc_id % 10 = 0, concat('LICENSE-', doc_id), concat('f', doc_id, '.txt'))"
-    out = licenses.scan_licenses(docs.withColumn("path", F.expr(f"concat({folder}, '/', {name})")))
+    out = licenses.scan_licenses(docs.withColumn("path", F.expr(f"concat({folder}, '/', {name})")), windows=True)
     return out.withColumn("score", F.round("score", 9))
 
 

@@ -71,3 +71,13 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, path string, text string, license string")
     assert run(scan_licenses(df)) == brute(rows)
     assert scan_licenses(df.limit(0)).collect() == []
+
+
+def test_wrapped_texts(spark, tmp_path):
+    bsd = "Copyright (c) 2020 Foo Inc. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
+    mit = "// Permission is hereby granted, free of charge, to any person\n// obtaining a copy of this software and associated\n// documentation files (the \"Software\"), to deal\n"
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n"
+    texts = {10: bsd, 20: mit, 30: gpl, 1: "x = 1\n/* Copyright (c) 2020 Foo Inc. All rights reserved. */\n", 2: "the rights of all are\nreserved for the person", 3: mit * 200}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.score) for r in op10_licenses(spark, str(tmp_path)).filter("origin = 'own'").collect()}
+    assert got == {10: ("BSD-3-Clause", 1.0), 20: ("MIT", 1.0), 30: ("GPL-3.0", 1.0), 1: ("Proprietary", 1.0), 3: ("MIT", 1.0)}
