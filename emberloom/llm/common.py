@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time.
@@ -25,23 +27,70 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _S33 = np.uint64(33)
 
 
+#: The folder that stage_table() writes to while a scratch_scope() is open.
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a private one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, a local session, whose
+    executor is the driver, gets a private one; on a cluster there is an error, as a folder chosen
+    here would be another on each machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="emberloom-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberloom-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the scratch folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside go when the scope ends; the function that it gives stages one that lasts longer."""
+    outer, folder = _SCOPE.get() or scratch_root(spark), f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    token = _SCOPE.set(folder)
+    try:
+        yield lambda df, name: stage_table(df, name, outer)
+    finally:
+        _SCOPE.reset(token)
+        remove(spark, folder)
+
+
+def stage_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A new folder's name in the given one, the open scope's or the scratch folder."""
+    return f"{folder or _SCOPE.get() or scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stage_table(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: cuts
     lineage in a way that survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, label, folder)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, or name_2, name_3 and so on: the first that is no column yet (in any case of letters)."""
+    held, out, k = {c.lower() for c in taken}, name, 1
+    while out.lower() in held:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, by names that may hold dots."""
+    return [column(c) for c in df.columns]
+
+
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def separators(words: str = "space") -> np.ndarray:
@@ -139,15 +188,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Minimum labels with pointer jumping; each round is a written table, nothing
     is collected but the count of changed labels. No edges give no rows."""
-    two = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    two = stage_table(two.union(two.select("y", "x")).distinct(), "cc-edges")
-    lab = stage_table(two.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")), "cc-labels")
-    while True:
-        near = two.join(lab, two.y == lab.node).groupBy("x").agg(F.min("component").alias("near"))
-        hop = lab.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        step = lab.join(near, lab.node == near.x, "left").join(hop, F.col("component") == F.col("via"), "left")
-        new = stage_table(step.select("node", F.least("component", "near", "far").alias("component"), F.col("component").alias("old")), "cc-labels")
-        changed = new.filter("component < old").limit(1).count()
-        lab = new.select("node", "component")
-        if not changed:
-            return lab
+    spark = edges.sparkSession
+    with scratch_scope(spark, "components") as keep:
+        two = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+        two = stage_table(two.union(two.select("y", "x")).distinct(), "edges")
+        lab = stage_table(two.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")), "labels")
+        while True:
+            near = two.join(lab, two.y == lab.node).groupBy("x").agg(F.min("component").alias("near"))
+            hop = lab.select(F.col("node").alias("via"), F.col("component").alias("far"))
+            step = lab.join(near, lab.node == near.x, "left").join(hop, F.col("component") == F.col("via"), "left")
+            new = stage_table(step.select("node", F.least("component", "near", "far").alias("component"), F.col("component").alias("old")), "labels")
+            lab = new.select("node", "component")
+            if not new.filter("component < old").limit(1).count():
+                return keep(lab, "labels")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, langid, licenses, mixing, oracles, toxicity, warc
-from .common import scratch_root
+from .common import free_name, scratch_root
 from .neardup import near_duplicates
 from .shards import ShardStore
 from .substring import substring_dedup
@@ -28,8 +28,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.poisson_mix(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "copy", "shuffle_key", F.md5("text").alias("text_md5"))
+    docs = _table(spark, sf_dir, "documents")
+    copy, key = mixing.own_names(docs)  # other columns of documents may have these names
+    return mixing.poisson_mix(docs).select("doc_id", "source", F.col(copy).alias("copy"), F.col(key).alias("shuffle_key"), F.md5("text").alias("text_md5"))
 
 
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append_arrivals(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)))
     store.compact()
     store.vacuum()
-    return store.read(shard_col="shard").select("doc_id", "shard", "source", "lang", "n_chars", F.md5("text").alias("text_md5"))
+    shard = free_name("shard", docs.columns)
+    return store.read(shard_col="shard").select("doc_id", F.col(shard).alias("shard"), "source", "lang", "n_chars", F.md5("text").alias("text_md5"))
 
 
 def op6_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

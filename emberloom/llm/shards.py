@@ -11,9 +11,11 @@ commit happens whole or not at all and one of two writers of a version loses.
 Shards that no manifest version lists any more are removed by vacuum().
 
 All files are reached through the Hadoop file system API, from the driver, and
-their rows through Spark. Rows are opaque: null columns, empty and long texts,
-repeated rows and extra columns are stored as they are. An empty arrival adds no
-shard (but a version); an empty store reads as an empty table.
+their rows through Spark: a pack is one task, so a task handles the target size. Rows
+are opaque: null columns, empty and long texts, repeated rows and extra columns of
+any name are stored as they are; a shard column asked for is numbered (shard_2) if
+the rows have one of that name. Rows of a null arrival are the arrival -1. An empty
+arrival adds no shard (but a version); an empty store reads as an empty table.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
 
 #: The names of so many shards at most (some 10 MB) are broadcast; those of more are joined by shuffle.
 BROADCAST_SHARDS = 50_000
@@ -44,9 +47,9 @@ class Shard:
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = 32 << 20, ratio: float = 4.0, min_run: int = 4):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = 32 << 20, ratio: float = 4.0, min_run: int = 4, broadcast_shards: int = BROADCAST_SHARDS):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.target, self.ratio, self.min_run = target_bytes, ratio, min_run
+        self.target, self.ratio, self.min_run, self.broadcast_shards = target_bytes, ratio, min_run, broadcast_shards
         self._hadoop = spark._jvm.org.apache.hadoop
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
@@ -107,11 +110,11 @@ class ShardStore:
         return self.commit(base, live + self._written(folder, arrival))
 
     def append_arrivals(self, df: DataFrame, arrival) -> int:
-        """Add df as one arrival for each value (not null) of the integer column expression
+        """Add df as one arrival for each value (-1 for null) of the integer column expression
         `arrival`, all written in one pass, each committed as its own version, in order."""
         column = f"arrival_{uuid.uuid4().hex}"
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.withColumn(column, arrival.cast("int")).write.option("compression", "zstd").partitionBy(column).parquet(folder)
+        df.withColumn(column, F.coalesce(arrival.cast("int"), F.lit(-1))).write.option("compression", "zstd").partitionBy(column).parquet(folder)
         version = self.version()
         for n, sub in sorted((int(p.rpartition("=")[2]), p) for p, _ in self._list(folder) if f"{column}=" in p):
             version = self.commit(version, self.shards(version) + self._written(sub, n))
@@ -154,7 +157,7 @@ class ShardStore:
             pack = f"pack_{uuid.uuid4().hex}"
             numbers = {s.path: k for k, p in enumerate(packs) for s in p}
             rows = self._numbered([s for p in packs for s in p], numbers, pack)
-            rows.repartition(len(packs), pack).write.option("compression", "zstd").partitionBy(pack).parquet(folder)
+            rows.repartitionById(len(packs), F.col(pack).cast("int")).write.option("compression", "zstd").partitionBy(pack).parquet(folder)
             made = []
             for sub, _ in self._list(folder):
                 if f"{pack}=" in sub:
@@ -187,11 +190,18 @@ class ShardStore:
         file, at = (f"{x}_{uuid.uuid4().hex}" for x in ("file", "at"))
         place = self.spark.createDataFrame([("/".join(p.split("/")[-2:]), k) for p, k in numbers.items()], f"{at} string, {column} long")
         rows = self._read(shards).withColumn(file, F.regexp_extract(F.input_file_name(), "[^/]+/[^/]+$", 0))
-        if len(numbers) <= BROADCAST_SHARDS:
+        if len(numbers) <= self.broadcast_shards:
             place = F.broadcast(place)
         return rows.join(place, F.col(file) == F.col(at)).drop(file, at)
 
+    def remove(self) -> None:
+        """Delete the store with all its shards and versions."""
+        self._fs.delete(self._path(self.root), True)
+
     def read(self, version: int | None = None, shard_col: str | None = None) -> DataFrame:
-        """The rows of a version; shard_col: also the number of each row's shard in the manifest."""
+        """The rows of a version; shard_col: also the number of each row's shard in the manifest,
+        under that name or, if the rows have one of that name, the first free one (shard_col_2)."""
         shards = self.shards(version)
-        return self._read(shards) if shard_col is None else self._numbered(shards, {s.path: k for k, s in enumerate(shards)}, shard_col)
+        if shard_col is None:
+            return self._read(shards)
+        return self._numbered(shards, {s.path: k for k, s in enumerate(shards)}, free_name(shard_col, self.schema.names))
