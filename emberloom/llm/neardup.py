@@ -7,7 +7,8 @@ square root of what separate tables would need, and a pair of similarity s meets
 in some table with probability (1 - (1 - s**width)**tables)**2 (0.9994 at 0.8
 for the defaults, more above).
 
-Candidates are verified on the full shingle sets, recomputed from the texts. No
+Candidates of sizes that allow the similarity are verified on the full shingle sets,
+which are written once for the documents that share a key with another. No
 bucket emits all its pairs. Rows of equal shingle sets are one node. In each
 bucket every member is checked against the bucket's most central member (the one
 that meets most others over all buckets, so an original rather than one of its
@@ -15,7 +16,8 @@ copies); components follow. Where buckets still hold several components and the
 over are few, in proportion to the nodes, they are checked one by one. Where they
 are many, members whose sizes and lone shingles rule out all others go, and the rest
 of a bucket are counted against each other in blocks of sets; where even that is too
-much, members outside the largest component first take turns as centres. So each
+much, members outside the largest component first take turns as centres, in each round
+four times as many, so that rounds grow with the logarithm of a bucket. So each
 pair that shares a key is checked, cannot be similar, or is already in one
 component: no link is lost.
 
@@ -35,13 +37,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, connected_components, mix, ngrams, stage_table, text_chunks
+from .common import Hasher, column, connected_components, mix, ngrams, scratch_scope, stage_table, text_chunks
 
 #: So many unchecked pairs for each node, at most, are checked one by one.
 PAIRS_PER_NODE = 8
 #: For each of them, so many may be counted in blocks.
 LOOKS_PER_PAIR = 50
-#: Members of a bucket that are centres in one round.
+#: Members of a bucket that are centres in the first round; in each later one, four times as many.
 TURNS = 4
 #: Sets of one side of a matrix of intersections.
 BLOCK = 256
@@ -89,20 +91,26 @@ def _signatures(width: int, tables: int, sub: int):
     return run
 
 
-def _verify(width: int, num: int, den: int):
-    """Rows (a, b, text_a, text_b) to (a, b, ok) by the full sets of both texts."""
+def _sets(width: int):
+    """Rows (id, text) to (id, set): the sorted shingle hashes as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for pdf in batches:
+            for ids, held in text_chunks(pdf["id"], pdf["text"]):
+                yield pd.DataFrame({"id": ids, "set": [x.tobytes() for x in shingle_sets(hasher, held, width)]})
+
+    return run
+
+
+def _verify(num: int, den: int):
+    """Rows (a, b, set_a, set_b) to (a, b, ok) by the full sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, known = Hasher(), {}
         for pdf in batches:
             out = []
-            for texts in zip(pdf["text_a"], pdf["text_b"], strict=True):
-                if len(known) > 64:  # a bucket's centre comes again and again
-                    known.clear()
-                for t in texts:
-                    if t not in known:
-                        known[t] = shingle_sets(hasher, [t.encode("utf-8", "replace")], width)[0]
-                x, y = known[texts[0]], known[texts[1]]
+            for p, q in zip(pdf["set_a"], pdf["set_b"], strict=True):
+                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(den * both >= num * (len(x) + len(y) - both))
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "ok": out})
@@ -113,7 +121,12 @@ def _verify(width: int, num: int, den: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100, tables: int = 8, width: int = 2) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept (id = component_id).
     Documents are linked when den * intersection >= num * union."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    with scratch_scope(docs.sparkSession, "nd") as keep:
+        return keep(_classes(docs, shingle_words, num, den, tables, width).withColumnRenamed("id", id_col), "near-duplicates")
+
+
+def _classes(docs: DataFrame, shingle_words: int, num: int, den: int, tables: int, width: int) -> DataFrame:
     signed = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_signatures(shingle_words, tables, width), "id string, n long, set1 long, set2 long, subs array<long>")
     sigs = stage_table(signed.withColumn("id", F.col("id").cast("long")), "nd-sigs")
     full = sigs.filter("n > 0 AND id IS NOT NULL")
@@ -124,11 +137,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sigs.select("id", "n", "set1", "set2").join(comps, ["n", "set1", "set2"], "left")
     comp = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     comp = F.when(F.col("id").isNotNull(), comp)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
 def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
-    """(key, node, weight) of the tables' keys that more than one node has."""
+    """(key, node, c, weight, lo, hi) of the tables' keys that more than one node has; lo and hi bound
+    the size of its set (an id of several texts has several)."""
     subs = nodes.select("node", F.posexplode("subs").alias("slot", "sub"))
     # Nodes that meet in table (i, j) meet in A[i] and in B[j]: sub-keys met by nobody go before keys are formed.
     met = subs.groupBy("slot", "sub").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
@@ -141,7 +155,8 @@ def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
     sizes = stage_table(sizes.groupBy("c", "who").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "c", "times"), "nd-sizes")
     kept = stage_table(keys.join(sizes, "key"), "nd-kept")
     weights = kept.groupBy("node").agg(F.sum(F.col("c") * F.col("times")).alias("weight"))
-    return stage_table(kept.select("key", "node", "c").join(weights, "node"), "nd-buckets")
+    bounds = nodes.groupBy("node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return stage_table(kept.select("key", "node", "c").join(weights.join(bounds, "node"), "node"), "nd-buckets")
 
 
 def _cross(own: DataFrame) -> int:
@@ -151,23 +166,20 @@ def _cross(own: DataFrame) -> int:
     return int(groups.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
 
 
-def _possible(own: DataFrame, texts: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
+def _possible(own: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """own with u, the number of a node's shingles that no other of these nodes has, without the
     rows whose node is too unlike all: two sets of x and y shingles of which u and v are theirs
     alone share at most x - u and have at least y + u in all."""
     nodes = own.select(F.col("node").alias("id")).distinct()
-    held = texts.join(nodes.hint("merge"), "id")
+    held = sets.join(nodes.hint("merge"), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
         for pdf in batches:
-            for ids, held in text_chunks(pdf["id"], pdf["text"]):
-                sets = shingle_sets(hasher, held, shingle_words)
-                yield pd.DataFrame({"id": np.repeat(np.asarray(ids, np.int64), [len(x) for x in sets]), "s": np.concatenate(sets).view(np.int64)})
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64), [len(x) // 8 for x in pdf["set"]]), "s": np.frombuffer(b"".join(map(bytes, pdf["set"])), np.int64)})
 
-    rows = held.select("id", "text").mapInPandas(run, "id long, s long")
+    rows = held.select("id", "set").mapInPandas(run, "id long, s long")
     alone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
-    once = held.groupBy("id").agg(F.count("*").alias("texts")).filter("texts = 1").select("id")  # an id of several texts is left in
+    once = held.groupBy("id").agg(F.count("*").alias("sets")).filter("sets = 1").select("id")  # an id of several texts is left in
     own = own.drop("u").join(alone.join(once, "id").withColumnRenamed("id", "node"), "node", "left").withColumn("u", F.coalesce("alone", F.lit(0))).drop("alone")
     least = own.groupBy("slot", "sub").agg(F.min("n").alias("least"))
     return own.join(least, ["slot", "sub"]).filter(F.expr(f"{den} * (n - u) >= {num} * (least + u)")).select("node", "component", "weight", "n", "u", "subs", "slot", "sub")
@@ -185,7 +197,7 @@ def _unlike(own: DataFrame, tables: int, num: int, den: int) -> DataFrame:
     return x.join(y, F.expr(on)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
-def _by_blocks(own: DataFrame, texts: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
+def _by_blocks(own: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links that join unlike components, all pairs of a bucket counted block by block:
     two blocks of about BLOCK sets make one matrix of intersections, and of its links only those that
     join something new are passed on."""
@@ -194,11 +206,10 @@ def _by_blocks(own: DataFrame, texts: DataFrame, shingle_words: int, num: int, d
     rows = own.select(*by, "node", "component").join(last, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     rows = rows.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
-    rows = rows.join(texts.select(F.col("id").alias("node"), "text"), "node")
+    rows = rows.join(sets.select(F.col("id").alias("node"), "set"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hasher = Hasher()
-        sets = [shingle_sets(hasher, [t.encode("utf-8", "replace")], shingle_words)[0] for t in pdf["text"]]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
         ids, comp, block = pdf["node"].tolist(), pdf["component"].tolist(), pdf["block"].to_numpy()
         x, y = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
         size = np.array([len(s) for s in sets])
@@ -237,17 +248,20 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den:
     buckets = _buckets(nodes, tables)
     involved = buckets.select(F.col("node").alias("id")).distinct()
     # The hints keep the plan the same at every size.
-    texts = stage_table(docs.filter("text IS NOT NULL").join(involved.hint("merge"), "id").distinct(), "nd-texts")
+    texts = docs.filter("text IS NOT NULL").join(involved.hint("merge"), "id").distinct()
+    sets = stage_table(texts.mapInPandas(_sets(shingle_words), "id long, set binary"), "nd-sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        own = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+        own = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")).hint("merge")
         both = pairs.join(own("a"), "a").join(own("b"), "b")
-        return stage_table(both.select("a", "b", "text_a", "text_b").mapInPandas(_verify(shingle_words, num, den), "a long, b long, ok boolean"), "nd-checked")
+        return stage_table(both.select("a", "b", "set_a", "set_b").mapInPandas(_verify(num, den), "a long, b long, ok boolean"), "nd-checked")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     few = PAIRS_PER_NODE * nodes.count()
-    centre = F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")
-    pairs = buckets.join(buckets.groupBy("key").agg(centre), "key").filter("node <> centre").select(*ordered("node", "centre")).distinct()
+    centre = F.max_by(F.struct(F.col("node").alias("centre"), F.col("lo").alias("least"), F.col("hi").alias("most")), F.struct("weight", -F.col("node"))).alias("c")
+    pairs = buckets.drop("c").join(buckets.groupBy("key").agg(centre).select("key", "c.*"), "key")
+    # Sets of too unlike sizes cannot be similar.
+    pairs = pairs.filter(f"node <> centre AND {den} * hi >= {num} * least AND {den} * most >= {num} * lo").select(*ordered("node", "centre")).distinct()
     known = checked(pairs)
     comps = connected_components(known.filter("ok"))
     joined = buckets.filter("c > 2").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -255,22 +269,22 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den:
     still = joined.join(open_, "key", "left_semi").groupBy("node", "component").agg(F.first("weight").alias("weight"))
     # From here on buckets are those of A alone: fewer, and no pair of a table is lost.
     rows = still.join(nodes.select("node", "n", "subs"), "node").select("node", "component", "weight", "n", F.lit(0).alias("u"), "subs", F.posexplode(F.slice("subs", 1, tables)).alias("slot", "sub"))
-    own, pruned = stage_table(rows, "nd-own"), False
+    own, pruned, turns = stage_table(rows, "nd-own"), False, TURNS
     by = ["slot", "sub"]
     while cross := _cross(own):
         if cross <= few:
             pairs = _unlike(own, tables, num, den).join(known, ["a", "b"], "left_anti")
             return connected_components(known.union(checked(pairs)).filter("ok"))
         if not pruned:
-            own, pruned = stage_table(_possible(own, texts, shingle_words, num, den), "nd-possible"), True
+            own, pruned = stage_table(_possible(own, sets, num, den), "nd-possible"), True
             continue
         if cross <= LOOKS_PER_PAIR * few:
-            links = stage_table(_by_blocks(own, texts, shingle_words, num, den), "nd-blocks")
+            links = stage_table(_by_blocks(own, sets, num, den), "nd-blocks")
             return connected_components(known.filter("ok").select("a", "b").union(links))
         # The most central members outside a bucket's largest component take their turns as centres.
         largest = own.groupBy(*by, "component").agg(F.count("*").alias("c")).groupBy(*by).agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
         turn = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), "node"))
-        centres = own.join(largest, by).filter("component <> largest").withColumn("turn", turn).filter(F.col("turn") <= TURNS)
+        centres = own.join(largest, by).filter("component <> largest").withColumn("turn", turn).filter(F.col("turn") <= turns)
         centres = stage_table(centres.select(*by, F.col("node").alias("centre"), F.col("component").alias("of")), "nd-centres")
         pairs = own.join(centres, by).filter("component <> of").select(*ordered("node", "centre")).distinct().join(known, ["a", "b"], "left_anti")
         known = stage_table(known.union(checked(pairs)), "nd-known")
@@ -278,5 +292,6 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den:
         own = own.join(centres.withColumnRenamed("centre", "node"), [*by, "node"], "left_anti").drop("component")
         own = own.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = own.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(*by)
+        turns *= 4
         own = stage_table(own.join(mixed, by, "left_semi").select("node", "component", "weight", "n", "u", "subs", *by), "nd-own")
     return comps
