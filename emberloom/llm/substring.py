@@ -7,15 +7,21 @@ that its words occur in. Documents stream through the automaton for matching
 statistics, and where the match is at least `span_words` long and the state's
 document is smaller, the span is covered.
 
-An automaton of a whole corpus has no size bound and streaming every document
-past every shard is quadratic, so shards are formed by content. Every window of
+The reference is the text that can match at all: of each stretch of words that shares
+a hashed k-gram with another document, the first document's. Hashes only say what
+cannot match and where the rest goes; every removed window is found by an automaton.
+An automaton of a whole corpus has no size bound and streaming every document past
+every shard is quadratic, so shards are formed by content. Every window of
 `span_words` words is owned by its minimiser, the k-gram of smallest hash in it.
-Equal windows have equal minimisers, so a shard holds whole minimiser groups and
-only the stretches of documents that can match there are streamed past it.
-Minimisers that occur once are dropped first, and a stretch that is the only one of
-its minimiser needs no automaton: its first document is that of all its windows. A minimiser with more than
-`hot_anchor` occurrences is dealt out again by whole windows: equal windows
-collapse to one reference row, so no group grows with a frequent phrase.
+Equal windows have equal minimisers, so a shard of whole minimiser groups meets all
+that can match there, and only the stretches of documents that belong to it are
+streamed past it, equal ones once. Minimisers that occur in one document only are
+dropped first. A minimiser in more than `hot_anchor` documents is dealt out again by
+whole windows: equal windows collapse to one reference row, so no group grows with a
+frequent phrase.
+
+Where all texts together have at most `broadcast_bytes`, they are the reference as they
+are: automata of shards of them are broadcast, and every document streams past each.
 
 Defined results: null text has no words and keeps the empty string; empty or
 short texts lose nothing; a row with null id loses nothing and is nobody's
@@ -32,10 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Hasher, mix, ngrams, text_chunks
+from .common import CHUNK_BYTES, Hasher, column, mix, ngrams, text_chunks
 
 ANCHOR_WORDS = 4
 
@@ -221,12 +227,12 @@ def _occurrences(span: int, firsts: bool = False):
                 ids = part["id"].to_numpy(np.int64)[doc]
                 order = np.lexsort((ids, seg, key))
                 k, s = key[order], seg[order]
-                one = order[np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))] if len(order) else order
-                yield pd.DataFrame({"key": key[one].view(np.int64), "seg": seg[one].view(np.int64), "hot": one >= cold.sum(), "id": ids[one]})
+                edge = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]), [True])) if len(order) else np.zeros(1, bool)
+                one, last = order[edge[:-1]], order[edge[1:]]
+                yield pd.DataFrame({"key": key[one].view(np.int64), "seg": seg[one].view(np.int64), "hot": one >= cold.sum(), "id": ids[one], "last": ids[last]})
                 continue
             sums = np.array([_checksum(x) for x in held], np.int64)
-            count = np.concatenate((n[cold], np.ones(len(whole[0]), np.int64)))
-            yield pd.DataFrame({"key": key.view(np.int64), "seg": seg.view(np.int64), "n": count, "id": part["id"].to_numpy(np.int64)[doc], "pos": (sums[doc] << 32) | start})
+            yield pd.DataFrame({"key": key.view(np.int64), "seg": seg.view(np.int64), "id": part["id"].to_numpy(np.int64)[doc], "pos": (sums[doc] << 32) | start})
 
     return run
 
@@ -316,31 +322,68 @@ def _cut(span: int, keep_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 13, hot_anchor: int = 2048, shard_words: int = 20_000, keep_text: bool = True) -> DataFrame:
-    """One row per row of docs: id, n_words, n_removed, kept_sha256, spans (start and
-    end word of each maximal removed span) and, if keep_text, kept_text."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    anchors = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(_anchors(span_words), "anchor long, id long")
+def _stream(span: int, shards: list[list[tuple[int, bytes]]]):
+    """Documents past the automata of broadcast reference shards, each a list of (document, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automata = []
+        for pdf in batches:
+            for rows in shards[len(automata) :]:
+                automata.append(SuffixAutomaton())
+                for low, raw in rows:
+                    automata[-1].add(raw.split(), low)
+            out = []
+            for i, size, packed in zip(pdf["id"].tolist(), pdf["size"].tolist(), pdf["packed"], strict=True):
+                raw = _unpack(size, packed)
+                words = raw.split()
+                at = {k for auto in automata for k, low in enumerate(auto.first_documents(words, span)) if low is not None and low < i}
+                out.append((i, [(_checksum(raw) << 32) | k for k in sorted(at)]))
+            yield pd.DataFrame(out, columns=["id", "s"]).astype({"id": "int64"})
+
+    return run
+
+
+def _broadcast_spans(docs: DataFrame, packed: DataFrame, span: int, shard_words: int) -> DataFrame:
+    """(id, s) by automata of all texts; the caller has checked their size."""
+    rows = sorted((r.id, r.text.encode("utf-8", "replace")) for r in docs.filter("id IS NOT NULL AND text IS NOT NULL").collect())
+    shards, words = [], shard_words
+    for i, raw in rows:
+        if words >= shard_words:
+            shards.append([])
+            words = 0
+        shards[-1].append((i, raw))
+        words += raw.count(b" ") + 1
+    return packed.filter("id IS NOT NULL").mapInPandas(_stream(span, shards), "id long, s array<long>").filter("size(s) > 0")
+
+
+def _shuffled_spans(docs: DataFrame, packed: DataFrame, span: int, hot_anchor: int, shard_words: int) -> DataFrame:
+    """(id, s): the first words of windows that a smaller document holds, by automata of content shards."""
+    anchors = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(_anchors(span), "anchor long, id long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_anchor).alias("hot"))
     lists = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("list"), F.collect_list("hot").alias("hot"))
-    # All joins with docs are left joins of the same rows, so that their texts are shuffled once.
-    packed = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_pack, "id string, size int, packed binary").withColumn("id", F.col("id").cast("long"))
+    # All joins with packed are left joins of the same rows, so that their texts are shuffled once.
     listed = packed.join(lists, "id", "left")
-    found = listed.mapInPandas(_occurrences(span_words), "key long, seg long, n int, id long, pos long")
-    # Different stretches of a minimiser, each named by its first document. One that is alone has
-    # nothing to be matched with; the others go to a shard, sent by their first documents.
-    heads = listed.mapInPandas(_occurrences(span_words, firsts=True), "key long, seg long, hot boolean, id long")
-    # The filter keeps nothing out: a later join would add it to one of the two uses only.
-    firsts = heads.filter("key IS NOT NULL AND seg IS NOT NULL").repartition("key").groupBy("key", "seg").agg(F.min("id").alias("low"), F.first("hot").alias("hot"))
-    firsts = firsts.withColumn("alone", F.count("*").over(Window.partitionBy("key")) == 1)
-    # hot is named in both branches (it is never null), so that their shuffle is one.
-    lone = firsts.filter("alone").select("key", "seg", "low", F.when(F.col("hot").isNull(), F.array().cast("array<long>")).alias("first"))
-    senders = firsts.filter("NOT alone").groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("list"), F.collect_list("seg").alias("segs"), F.collect_list("hot").alias("hot"))
-    refs = packed.join(senders, "id", "left").mapInPandas(_references(span_words), "key long, seg long, low long, words binary")
-    shards = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span_words, shard_words), "key long, seg long, first array<long>")
-    judged = lone.unionByName(shards.dropDuplicates(["key", "seg"]).withColumn("low", F.lit(None).cast("long")))
-    starts = F.expr("if(first IS NULL, if(low < id, sequence(pos, pos + n - 1), array()), filter(transform(first, (d, i) -> if(d < id, pos + i, NULL)), x -> x IS NOT NULL))")
-    spans = found.join(judged, ["key", "seg"]).select("id", starts.alias("s")).filter("size(s) > 0")
+    found = listed.mapInPandas(_occurrences(span), "key long, seg long, id long, pos long")
+    # Different stretches of a minimiser, each named and sent to a shard by its first document.
+    heads = listed.mapInPandas(_occurrences(span, firsts=True), "key long, seg long, hot boolean, id long, last long")
+    firsts = heads.groupBy("key", "seg").agg(F.min("id").alias("low"), F.max("last").alias("last"), F.first("hot").alias("hot")).filter("NOT hot OR low < last")
+    senders = firsts.groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("list"), F.collect_list("seg").alias("segs"), F.collect_list("hot").alias("hot"))
+    refs = packed.join(senders, "id", "left").mapInPandas(_references(span), "key long, seg long, low long, words binary")
+    shards = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span, shard_words), "key long, seg long, first array<long>")
+    judged = shards.dropDuplicates(["key", "seg"])
+    starts = F.expr("filter(transform(first, (d, i) -> if(d < id, pos + i, NULL)), x -> x IS NOT NULL)")
+    return found.join(judged, ["key", "seg"]).select("id", starts.alias("s")).filter("size(s) > 0")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 13, hot_anchor: int = 2048, shard_words: int = 20_000, broadcast_bytes: int = 1 << 21, keep_text: bool = True) -> DataFrame:
+    """One row per row of docs: id, n_words, n_removed, kept_sha256, spans (start and
+    end word of each maximal removed span) and, if keep_text, kept_text."""
+    docs = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    packed = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_pack, "id string, size int, packed binary").withColumn("id", F.col("id").cast("long"))
+    if (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes:
+        spans = _broadcast_spans(docs, packed, span_words, shard_words)
+    else:
+        spans = _shuffled_spans(docs, packed, span_words, hot_anchor, shard_words)
     spans = spans.groupBy("id").agg(F.flatten(F.collect_list("s")).alias("starts"))
     schema = "id string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept_text string" * keep_text
     out = packed.join(spans, "id", "left").withColumn("id", F.col("id").cast("string")).mapInPandas(_cut(span_words, keep_text), schema)

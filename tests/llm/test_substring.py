@@ -29,8 +29,8 @@ def run(df, **kw):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df, **kw).collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_same_as_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "broadcast"), [(2048, 0), (2, 0), (2048, 1 << 21)])
+def test_same_as_brute_force(spark, hot, broadcast):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(30)]
     passages = [rng.choices(vocab, k=rng.randrange(8, 60)) for _ in range(12)]
@@ -41,18 +41,25 @@ def test_same_as_brute_force(spark, hot):
             words += rng.choice(passages) if rng.random() < 0.5 else rng.choices(vocab, k=rng.randrange(30))
         rows.append((i, rng.choice((" ", "\n", "\x0b ")).join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert run(df, hot_anchor=hot, shard_words=200) == brute(rows)
+    assert run(df, hot_anchor=hot, shard_words=200, broadcast_bytes=broadcast) == brute(rows)
 
 
-def test_edge_rows(spark):
+@pytest.mark.parametrize("broadcast", [0, 1 << 21])
+def test_edge_rows(spark, broadcast):
     twenty = " ".join(f"é{i} x" for i in range(20))
     rows = [(3, twenty), (1, None), (2, ""), (4, twenty), (4, twenty), (4, twenty.replace("é3", "e3")), (None, twenty), (5, "a " * 30_000), (6, "a " * 20_000), (7, "short text"), (0, "\n\n")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, kept_text string")
-    assert run(df) == brute(rows)
+    assert run(df, broadcast_bytes=broadcast) == brute(rows)
 
 
-def test_empty_table(spark):
-    assert run(spark.createDataFrame([], "doc_id long, text string")) == []
+@pytest.mark.parametrize("broadcast", [-1, 0])
+def test_empty_table(spark, broadcast):
+    assert run(spark.createDataFrame([], "doc_id long, text string"), broadcast_bytes=broadcast) == []
+
+
+def test_all_documents_by_either_way(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert run(docs, broadcast_bytes=0) == run(docs, broadcast_bytes=1 << 30) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_automaton_matches_by_length():
