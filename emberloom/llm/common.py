@@ -93,6 +93,15 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def join_hot(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined by an integer key with groups, which are aggregated by it. The plain join would use
+    the aggregation's partitions as they are, and adaptive execution splits a hot key's rows only
+    where both sides are shuffled for the join itself: the complement of the key makes it so."""
+    other = f"{key}_{uuid.uuid4().hex}"
+    groups = groups.withColumn(other, F.bitwise_not(key)).drop(key)
+    return rows.join(groups, F.bitwise_not(rows[key]) == groups[other]).drop(other)
+
+
 def separators(words: str = "space") -> np.ndarray:
     """256 booleans: which bytes separate words. "space" is [\\x20\\x09-\\x0D];
     "alnum" makes every ASCII byte other than a letter or digit a separator."""

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Hasher, column, mix, ngrams, text_chunks
+from .common import CHUNK_BYTES, Hasher, column, join_hot, mix, ngrams, text_chunks
 
 ANCHOR_WORDS = 4
 
@@ -179,9 +179,10 @@ def _anchors(span: int):
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts as compressed bytes: they are shuffled once and read by three steps."""
+    codec = pa.Codec("zstd", compression_level=3)
     for pdf in batches:
         raw = [None if t is None else t.encode("utf-8", "replace") for t in pdf["text"]]
-        packed = [x and pa.compress(x, "zstd", asbytes=True) for x in raw]
+        packed = [x and codec.compress(x, asbytes=True) for x in raw]
         yield pd.DataFrame({"id": pdf["id"], "size": [-1 if x is None else len(x) for x in raw], "packed": packed})
 
 
@@ -273,10 +274,15 @@ def _shards(span: int, shard_words: int):
     """Automata of reference shards; the input comes in order of key."""
 
     def judge(rows: list[tuple]) -> pd.DataFrame:
-        auto = SuffixAutomaton()
+        """Runs of n windows from the o-th on whose first document is d, of each stretch."""
+        auto, out = SuffixAutomaton(), []
         for low, _, _, words in sorted(rows, key=lambda r: r[0]):
             auto.add(words, low)
-        return pd.DataFrame([(key, seg, auto.first_documents(words, span)) for _, key, seg, words in rows], columns=["key", "seg", "first"])
+        for key, seg, words in {(key, seg): (key, seg, words) for _, key, seg, words in rows}.values():
+            first = np.array(auto.first_documents(words, span), np.int64)
+            o = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+            out += [(key, seg, a, b - a, first[a]) for a, b in zip(o.tolist(), [*o[1:].tolist(), len(first)], strict=True)]
+        return pd.DataFrame(out, columns=["key", "seg", "o", "n", "d"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size, last = [], 0, None
@@ -299,16 +305,17 @@ def _cut(span: int, keep_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, size, packed, starts in zip(pdf["id"], pdf["size"].tolist(), pdf["packed"], pdf["starts"], strict=True):
+            for i, size, packed, starts, sizes in zip(pdf["id"], pdf["size"].tolist(), pdf["packed"], pdf["starts"], pdf["sizes"], strict=True):
                 raw = _unpack(size, packed)
                 words = raw.split()
                 n, spans = len(words), []
                 if starts is not None and size > 0:
-                    at = np.unique(np.asarray(starts, np.int64))
-                    at = at[at >> 32 == _checksum(raw)] & 0xFFFFFFFF
+                    at, run = np.asarray(starts, np.int64), np.asarray(sizes, np.int64)
+                    own = at >> 32 == _checksum(raw)
+                    at, run = at[own] & 0xFFFFFFFF, run[own]
                     hit = np.zeros(n + 1, np.int32)
                     np.add.at(hit, at, 1)
-                    np.add.at(hit, at + span, -1)
+                    np.add.at(hit, at + run + span - 1, -1)
                     gone = np.cumsum(hit[:n]) > 0
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).tolist()
                     spans = [{"start": a, "end": b} for a, b in zip(edges[0::2], edges[1::2], strict=True)]
@@ -337,14 +344,14 @@ def _stream(span: int, shards: list[list[tuple[int, bytes]]]):
                 raw = _unpack(size, packed)
                 words = raw.split()
                 at = {k for auto in automata for k, low in enumerate(auto.first_documents(words, span)) if low is not None and low < i}
-                out.append((i, [(_checksum(raw) << 32) | k for k in sorted(at)]))
-            yield pd.DataFrame(out, columns=["id", "s"]).astype({"id": "int64"})
+                out += [(i, (_checksum(raw) << 32) | k, 1) for k in at]
+            yield pd.DataFrame(out, columns=["id", "pos", "n"]).astype("int64")
 
     return run
 
 
 def _broadcast_spans(docs: DataFrame, packed: DataFrame, span: int, shard_words: int) -> DataFrame:
-    """(id, s) by automata of all texts; the caller has checked their size."""
+    """(id, pos, n): runs of windows that a smaller document holds, by automata of all texts; the caller has checked their size."""
     rows = sorted((r.id, r.text.encode("utf-8", "replace")) for r in docs.filter("id IS NOT NULL AND text IS NOT NULL").collect())
     shards, words = [], shard_words
     for i, raw in rows:
@@ -353,14 +360,14 @@ def _broadcast_spans(docs: DataFrame, packed: DataFrame, span: int, shard_words:
             words = 0
         shards[-1].append((i, raw))
         words += raw.count(b" ") + 1
-    return packed.filter("id IS NOT NULL").mapInPandas(_stream(span, shards), "id long, s array<long>").filter("size(s) > 0")
+    return packed.filter("id IS NOT NULL").mapInPandas(_stream(span, shards), "id long, pos long, n long")
 
 
 def _shuffled_spans(docs: DataFrame, packed: DataFrame, span: int, hot_anchor: int, shard_words: int) -> DataFrame:
-    """(id, s): the first words of windows that a smaller document holds, by automata of content shards."""
+    """(id, pos, n): runs of windows that a smaller document holds, by automata of content shards."""
     anchors = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(_anchors(span), "anchor long, id long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_anchor).alias("hot"))
-    lists = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("list"), F.collect_list("hot").alias("hot"))
+    lists = join_hot(anchors, shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("list"), F.collect_list("hot").alias("hot"))
     # All joins with packed are left joins of the same rows, so that their texts are shuffled once.
     listed = packed.join(lists, "id", "left")
     found = listed.mapInPandas(_occurrences(span), "key long, seg long, id long, pos long")
@@ -369,10 +376,8 @@ def _shuffled_spans(docs: DataFrame, packed: DataFrame, span: int, hot_anchor: i
     firsts = heads.groupBy("key", "seg").agg(F.min("id").alias("low"), F.max("last").alias("last"), F.first("hot").alias("hot")).filter("NOT hot OR low < last")
     senders = firsts.groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("list"), F.collect_list("seg").alias("segs"), F.collect_list("hot").alias("hot"))
     refs = packed.join(senders, "id", "left").mapInPandas(_references(span), "key long, seg long, low long, words binary")
-    shards = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span, shard_words), "key long, seg long, first array<long>")
-    judged = shards.dropDuplicates(["key", "seg"])
-    starts = F.expr("filter(transform(first, (d, i) -> if(d < id, pos + i, NULL)), x -> x IS NOT NULL)")
-    return found.join(judged, ["key", "seg"]).select("id", starts.alias("s")).filter("size(s) > 0")
+    shards = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span, shard_words), "key long, seg long, o int, n int, d long")
+    return found.join(shards, ["key", "seg"]).filter("d < id").select("id", (F.col("pos") + F.col("o")).alias("pos"), F.col("n").cast("long").alias("n"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 13, hot_anchor: int = 2048, shard_words: int = 20_000, broadcast_bytes: int = 1 << 21, keep_text: bool = True) -> DataFrame:
@@ -384,7 +389,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spans = _broadcast_spans(docs, packed, span_words, shard_words)
     else:
         spans = _shuffled_spans(docs, packed, span_words, hot_anchor, shard_words)
-    spans = spans.groupBy("id").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    spans = spans.groupBy("id").agg(F.collect_list("pos").alias("starts"), F.collect_list("n").alias("sizes"))
     schema = "id string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept_text string" * keep_text
     out = packed.join(spans, "id", "left").withColumn("id", F.col("id").cast("string")).mapInPandas(_cut(span_words, keep_text), schema)
     return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
