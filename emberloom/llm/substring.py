@@ -16,7 +16,9 @@ every shard is quadratic, so shards are formed by content. Every window of
 Equal windows have equal minimisers, so a shard of whole minimiser groups meets all
 that can match there, and only the stretches of documents that belong to it are
 streamed past it, equal ones once. Minimisers that occur in one document only are
-dropped first. A minimiser in more than `hot_anchor` documents is dealt out again by
+dropped first. A stretch that is the only one of its minimiser can match its own copies
+only, so any shard will do: it goes into an automaton of the batch that holds it, and
+its words are not shuffled. A minimiser in more than `hot_anchor` documents is dealt out again by
 whole windows: equal windows collapse to one reference row, so no group grows with a
 frequent phrase.
 
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Hasher, column, join_hot, mix, ngrams, text_chunks
@@ -159,10 +161,10 @@ def _hashes(hasher: Hasher, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.
 
 
 def _windows(h: np.ndarray, hasher: Hasher, at: np.ndarray, n: np.ndarray, doc: np.ndarray, span: int):
-    """Each window of the runs on its own: (key, hash, text, first word)."""
+    """Each window of the runs on its own: (key, the same as hash, text, first word)."""
     at = np.repeat(at - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else at
     hashes = _hashes(hasher, h, at, np.full(len(at), span, np.int64))
-    return mix(hashes), hashes, np.repeat(doc, n), at
+    return hashes, hashes, np.repeat(doc, n), at
 
 
 def _anchors(span: int):
@@ -205,13 +207,27 @@ def _with_lists(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame,
             yield pdf.iloc[begin:], held
 
 
+#: So many heads are held in a task until equal ones are combined and sent.
+HEADS = 400_000
+
+
+def _heads(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    """Of equal stretches (key, seg, id), the first document and the last."""
+    key, seg, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((ids, seg, key))
+    k, s = key[order], seg[order]
+    edge = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]), [True])) if len(order) else np.zeros(1, bool)
+    one, last = order[edge[:-1]], order[edge[1:]]
+    return pd.DataFrame({"key": key[one].view(np.int64), "seg": seg[one].view(np.int64), "id": ids[one], "last": ids[last]})
+
+
 def _occurrences(span: int, firsts: bool = False):
-    """The stretches of texts that belong to shared anchors; hot ones window by window.
+    """The stretches of texts that belong to shared anchors; hot ones window by window (key = seg).
     pos holds the first word in the text and, above it, a checksum of the text.
-    firsts: of a batch's equal stretches only the first document's, without pos."""
+    firsts: of a task's equal stretches once, with the first document and the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        hasher, heads = Hasher(), []
         for part, held in _with_lists(batches):
             a, d, at, n, (h, _, _, first, _) = _runs(hasher, held, span)
             shared, of = _lists(part["list"])
@@ -223,17 +239,18 @@ def _occurrences(span: int, firsts: bool = False):
             key = np.concatenate((a[cold], whole[0]))
             seg = np.concatenate((_hashes(hasher, h, at[cold], n[cold] + span - 1), whole[1]))
             doc = np.concatenate((d[cold], whole[2]))
-            start = np.concatenate((at[cold], whole[3])) - first[doc]
+            ids = part["id"].to_numpy(np.int64)[doc]
             if firsts:
-                ids = part["id"].to_numpy(np.int64)[doc]
-                order = np.lexsort((ids, seg, key))
-                k, s = key[order], seg[order]
-                edge = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]), [True])) if len(order) else np.zeros(1, bool)
-                one, last = order[edge[:-1]], order[edge[1:]]
-                yield pd.DataFrame({"key": key[one].view(np.int64), "seg": seg[one].view(np.int64), "hot": one >= cold.sum(), "id": ids[one], "last": ids[last]})
+                heads.append((key, seg, ids))
+                if sum(len(x[0]) for x in heads) >= HEADS:
+                    yield _heads(heads)
+                    heads = []
                 continue
+            start = np.concatenate((at[cold], whole[3])) - first[doc]
             sums = np.array([_checksum(x) for x in held], np.int64)
-            yield pd.DataFrame({"key": key.view(np.int64), "seg": seg.view(np.int64), "id": part["id"].to_numpy(np.int64)[doc], "pos": (sums[doc] << 32) | start})
+            yield pd.DataFrame({"key": key.view(np.int64), "seg": seg.view(np.int64), "id": ids, "pos": (sums[doc] << 32) | start})
+        if heads:
+            yield _heads(heads)
 
     return run
 
@@ -242,61 +259,72 @@ def _checksum(raw: bytes) -> int:
     return zlib.crc32(raw) >> 1
 
 
-def _references(span: int):
-    """The words of the stretches that a text is the first to hold."""
+def _judge(rows: list[tuple], span: int) -> pd.DataFrame:
+    """The stretches (document, key, seg, words) of a reference shard past its automaton: for each
+    stretch, runs of n windows from the o-th on whose first document is low."""
+    auto, out = SuffixAutomaton(), []
+    for low, _, _, words in sorted(rows, key=lambda r: r[0]):
+        auto.add(words, low)
+    for key, seg, words in {(key, seg): (key, seg, words) for _, key, seg, words in rows}.values():
+        first = np.array(auto.first_documents(words, span), np.int64)
+        o = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+        out += [(key, seg, first[a], None, a, b - a) for a, b in zip(o.tolist(), [*o[1:].tolist(), len(first)], strict=True)]
+    return pd.DataFrame(out, columns=["key", "seg", "low", "words", "o", "n"])
+
+
+def _references(span: int, shard_words: int):
+    """The words of the stretches that a text is the first to hold. Those that are alone in their
+    minimiser, whose copies no other shard can match, are judged here, in an automaton of the batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        hasher, step = Hasher(), max(1, shard_words // span)
         for part, held in _with_lists(batches):
             a, d, at, n, (h, s, e, _, _) = _runs(hasher, held, span)
             keys, of = _lists(part["list"])
             segs, _ = _lists(part["segs"])
-            hot, _ = _lists(part["hot"], bool)
+            lone, _ = _lists(part["lone"], bool)
             want = _tag(of, keys.view(np.uint64), segs.view(np.uint64))
             seg = _hashes(hasher, h, at, n + span - 1)
             found = [(a, seg, d, at, n + span - 1)]
-            if hot.any():
-                pick = np.isin(d, of[hot])
+            if (keys == segs).any():
+                pick = np.isin(d, of[keys == segs])
                 found.append((*_windows(h, hasher, at[pick], n[pick], d[pick], span), None))
-            buf = b"\n".join(held)
+            buf, here = b"\n".join(held), []
             for key, seg, d, at, n in found:
                 tag = _tag(d, key, seg)
                 _, one = np.unique(tag, return_index=True)
                 one = one[np.isin(tag[one], want)]
+                alone = np.isin(tag[one], want[lone])
                 n = np.full(len(one), span) if n is None else n[one]
-                text = [buf[x:y] for x, y in zip(s[at[one]].tolist(), e[at[one] + n - 1].tolist(), strict=True)]
-                yield pd.DataFrame({"key": key[one].view(np.int64), "seg": seg[one].view(np.int64), "low": part["id"].to_numpy(np.int64)[d[one]], "words": text})
+                text = np.array([buf[x:y] for x, y in zip(s[at[one]].tolist(), e[at[one] + n - 1].tolist(), strict=True)], object)
+                key, seg, low = key[one].view(np.int64), seg[one].view(np.int64), part["id"].to_numpy(np.int64)[d[one]]
+                here += zip(low[alone].tolist(), key[alone].tolist(), seg[alone].tolist(), map(bytes.split, text[alone]), strict=True)
+                yield pd.DataFrame({"key": key[~alone], "seg": seg[~alone], "low": low[~alone], "words": text[~alone], "o": 0, "n": 0})
+            for i in range(0, len(here), step):
+                yield _judge(here[i : i + step], span)
 
     return run
 
 
 def _shards(span: int, shard_words: int):
-    """Automata of reference shards; the input comes in order of key."""
-
-    def judge(rows: list[tuple]) -> pd.DataFrame:
-        """Runs of n windows from the o-th on whose first document is d, of each stretch."""
-        auto, out = SuffixAutomaton(), []
-        for low, _, _, words in sorted(rows, key=lambda r: r[0]):
-            auto.add(words, low)
-        for key, seg, words in {(key, seg): (key, seg, words) for _, key, seg, words in rows}.values():
-            first = np.array(auto.first_documents(words, span), np.int64)
-            o = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-            out += [(key, seg, a, b - a, first[a]) for a, b in zip(o.tolist(), [*o[1:].tolist(), len(first)], strict=True)]
-        return pd.DataFrame(out, columns=["key", "seg", "o", "n", "d"])
+    """Automata of reference shards; the input comes in order of key. Rows judged before pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size, last = [], 0, None
         for pdf in batches:
+            done = pdf["words"].isna()
+            yield pdf[done].drop(columns="words")
+            pdf = pdf[~done]
             for key, seg, words, low in zip(pdf["key"].tolist(), pdf["seg"].tolist(), pdf["words"], pdf["low"].tolist(), strict=True):
                 if key != last and size >= shard_words:
-                    yield judge(rows)
+                    yield _judge(rows, span).drop(columns="words")
                     rows, size = [], 0
                 words = bytes(words).split()
                 rows.append((low, key, seg, words))
                 size += len(words)
                 last = key
         if rows:
-            yield judge(rows)
+            yield _judge(rows, span).drop(columns="words")
 
     return run
 
@@ -372,12 +400,13 @@ def _shuffled_spans(docs: DataFrame, packed: DataFrame, span: int, hot_anchor: i
     listed = packed.join(lists, "id", "left")
     found = listed.mapInPandas(_occurrences(span), "key long, seg long, id long, pos long")
     # Different stretches of a minimiser, each named and sent to a shard by its first document.
-    heads = listed.mapInPandas(_occurrences(span, firsts=True), "key long, seg long, hot boolean, id long, last long")
-    firsts = heads.groupBy("key", "seg").agg(F.min("id").alias("low"), F.max("last").alias("last"), F.first("hot").alias("hot")).filter("NOT hot OR low < last")
-    senders = firsts.groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("list"), F.collect_list("seg").alias("segs"), F.collect_list("hot").alias("hot"))
-    refs = packed.join(senders, "id", "left").mapInPandas(_references(span), "key long, seg long, low long, words binary")
-    shards = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span, shard_words), "key long, seg long, o int, n int, d long")
-    return found.join(shards, ["key", "seg"]).filter("d < id").select("id", (F.col("pos") + F.col("o")).alias("pos"), F.col("n").cast("long").alias("n"))
+    heads = listed.mapInPandas(_occurrences(span, firsts=True), "key long, seg long, id long, last long").repartition("key")
+    firsts = heads.groupBy("key", "seg").agg(F.min("id").alias("low"), F.max("last").alias("last"))
+    firsts = firsts.withColumn("lone", F.count("*").over(Window.partitionBy("key")) == 1).filter("NOT lone OR low < last")
+    senders = firsts.groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("list"), F.collect_list("seg").alias("segs"), F.collect_list("lone").alias("lone"))
+    refs = packed.join(senders, "id", "left").mapInPandas(_references(span, shard_words), "key long, seg long, low long, words binary, o int, n int")
+    shards = refs.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(span, shard_words), "key long, seg long, low long, o int, n int")
+    return found.join(shards, ["key", "seg"]).filter("low < id").select("id", (F.col("pos") + F.col("o")).alias("pos"), F.col("n").cast("long").alias("n"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 13, hot_anchor: int = 2048, shard_words: int = 20_000, broadcast_bytes: int = 1 << 21, keep_text: bool = True) -> DataFrame:
