@@ -3,7 +3,7 @@ joins on whole windows, whole shingles and whole vectors of words."""
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES, THRESHOLD
+from .licenses import LONG_WORDS, THRESHOLD, templates
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -28,24 +28,26 @@ r(node, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, d.b FROM r
 SELECT node AS doc_id, n.n AS n_shingles, min(reach) AS component_id, node = min(reach) AS kept FROM r JOIN n ON n.doc_id = node GROUP BY node, n.n
 """
 
-_ROWS = ", ".join(f"({k}, '{name}', '{text.lower()}')" for k, (name, text) in enumerate(TEMPLATES))
+_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.lower().replace("'", "''")) for k, (name, text) in enumerate(templates()))
 
 LICENSES = rf"""
 WITH t(k, license, txt) AS (VALUES {_ROWS}),
 tw AS (SELECT k, license, unnest(regexp_extract_all(txt, '[\p{{L}}\p{{N}}]+')) AS w FROM t),
 tf AS (SELECT k, license, w, count(*) AS n FROM tw GROUP BY ALL),
-idf AS (SELECT w, ln((1 + {len(TEMPLATES)}) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY w),
+size AS (SELECT k, sum(n) >= {LONG_WORDS} AS long FROM tf GROUP BY k),
+idf AS (SELECT w, ln((1 + {len(templates())}) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY w),
 tv AS (SELECT k, license, w, n * idf AS x, sqrt(sum(n * idf * n * idf) OVER (PARTITION BY k)) AS norm FROM tf JOIN idf USING (w)),
 f AS (SELECT doc_id, text, coalesce(source, 'none') AS top, 'p' || (doc_id // 7 % 20) AS package, 'm' || (doc_id // 11 % 10) AS module FROM documents),
 files AS (SELECT doc_id, text, CASE WHEN doc_id % 10 <> 0 OR doc_id // 10 % 3 = 2 THEN top || '/' || package || '/' || module WHEN doc_id // 10 % 3 = 1 THEN top || '/' || package ELSE top END AS dir,
   CASE WHEN doc_id % 10 = 0 THEN 'LICENSE-' || doc_id ELSE 'f' || doc_id || '.txt' END AS name FROM f),
-ls AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS l, generate_subscripts(string_split(lower(text), chr(10)), 1) AS i FROM files),
+ls AS (SELECT doc_id, lower(text) AS l, 0 AS i FROM files
+  UNION ALL SELECT doc_id, unnest(string_split(lower(text), chr(10))), generate_subscripts(string_split(lower(text), chr(10)), 1) FROM files),
 lw AS (SELECT doc_id, i, unnest(regexp_extract_all(l, '[\p{{L}}\p{{N}}]+')) AS w FROM ls),
 lf AS (SELECT doc_id, i, w, count(*) AS n FROM lw GROUP BY ALL),
-lv AS (SELECT doc_id, i, w, n * coalesce(idf, ln(1 + {len(TEMPLATES)}) + 1) AS x FROM lf LEFT JOIN idf USING (w)),
+lv AS (SELECT doc_id, i, w, n * coalesce(idf, ln(1 + {len(templates())}) + 1) AS x FROM lf LEFT JOIN idf USING (w)),
 ln_ AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM lv GROUP BY ALL),
-sc AS (SELECT lv.doc_id, license, sum(lv.x * tv.x) / any_value(tv.norm) / any_value(ln_.norm) AS s FROM lv JOIN tv USING (w) JOIN ln_ ON ln_.doc_id = lv.doc_id AND ln_.i = lv.i GROUP BY lv.doc_id, lv.i, k, license),
-own AS (SELECT doc_id, license, round(s, 9) AS score FROM sc WHERE s >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, license) = 1),
+sc AS (SELECT lv.doc_id, k, license, sum(lv.x * tv.x) / any_value(tv.norm) / any_value(ln_.norm) AS s FROM lv JOIN tv USING (w) JOIN ln_ ON ln_.doc_id = lv.doc_id AND ln_.i = lv.i GROUP BY lv.doc_id, lv.i, k, license),
+own AS (SELECT doc_id, license, round(least(s, 1), 9) AS score FROM sc JOIN size USING (k) WHERE s >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY long DESC, round(least(s, 1), 9) DESC, license) = 1),
 o AS (SELECT files.doc_id, dir, dir || '/' || name AS path, name, license, score FROM files LEFT JOIN own USING (doc_id)),
 held AS (SELECT dir, path, license, score FROM o WHERE license IS NOT NULL AND starts_with(name, 'LICENSE') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
 near AS (SELECT o.doc_id, held.* FROM o JOIN held ON o.dir = held.dir OR starts_with(o.dir, held.dir || '/') WHERE o.license IS NULL QUALIFY row_number() OVER (PARTITION BY o.doc_id ORDER BY length(held.dir) DESC) = 1)

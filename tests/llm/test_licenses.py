@@ -2,7 +2,9 @@ import math
 import re
 from collections import Counter
 
-from emberloom.llm.licenses import LICENCE_FILE, TEMPLATES, THRESHOLD, scan_licenses
+import pytest
+
+from emberloom.llm.licenses import LICENCE_FILE, LONG_WORDS, THRESHOLD, WINDOW_WORDS, Matcher, licence_texts, scan_licenses, templates
 from emberloom.llm.registry import op10_licenses
 
 
@@ -10,20 +12,34 @@ def words(x):
     return re.findall(r"[^\W_]+", x.lower())
 
 
-def brute_text(text):
-    df = Counter(w for _, t in TEMPLATES for w in set(words(t)))
-    idf = lambda w: math.log((1 + len(TEMPLATES)) / (1 + df[w])) + 1
-    best = None
-    for line in (text or "").split("\n"):
-        v = {w: n * idf(w) for w, n in Counter(words(line)).items()}
-        for name, t in TEMPLATES:
-            u = {w: n * idf(w) for w, n in Counter(words(t)).items()}
-            dot = sum(x * v.get(w, 0) for w, x in u.items())
-            if dot:
-                s = dot / math.sqrt(sum(x * x for x in u.values())) / math.sqrt(sum(x * x for x in v.values()))
-                if s >= THRESHOLD and (best is None or (-round(s, 9), name) < (-best[0], best[1])):
-                    best = round(s, 9), name
-    return best
+DF = Counter(w for _, t in templates() for w in set(words(t)))
+
+
+def vector(ws):
+    return {w: n * (math.log((1 + len(templates())) / (1 + DF[w])) + 1) for w, n in Counter(ws).items()}
+
+
+def length(v):
+    return math.sqrt(sum(x * x for x in v.values()))
+
+
+VECTORS = [(name, len(words(t)), vector(words(t))) for name, t in templates()]
+
+
+def brute_text(text, windows=False):
+    """Every unit against every template, without any shortcut."""
+    ws = words(text or "")
+    units = [(ws, None)] + [(words(line), None) for line in (text or "").split("\n")]
+    if windows:
+        units += [(ws[i : i + n], n) for n in {n for _, n, _ in VECTORS if n <= WINDOW_WORDS} for i in range(len(ws) - n + 1)]
+    found = []
+    for unit, only in units:
+        v = vector(unit)
+        for name, n, u in VECTORS:
+            dot = sum(x * v.get(w, 0) for w, x in u.items()) if only in (None, n) else 0
+            if dot and (s := min(1.0, dot / length(u) / length(v))) >= THRESHOLD:
+                found.append((n < LONG_WORDS, -round(s, 9), name))
+    return (-min(found)[1], min(found)[2]) if found else None
 
 
 def brute(rows):
@@ -73,11 +89,82 @@ def test_edge_rows(spark):
     assert scan_licenses(df.limit(0)).collect() == []
 
 
-def test_wrapped_texts(spark, tmp_path):
-    bsd = "Copyright (c) 2020 Foo Inc. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
-    mit = "// Permission is hereby granted, free of charge, to any person\n// obtaining a copy of this software and associated\n// documentation files (the \"Software\"), to deal\n"
+GPL_HEADER = """/*
+ * frob.c - frobs.
+ * Copyright (C) 2021  A. Person
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+ */
+int main(void) { return 0; }
+"""
+ASF_HEADER = """# Licensed to the Apache Software Foundation (ASF) under one or more
+# contributor license agreements.  See the NOTICE file distributed with
+# this work for additional information regarding copyright ownership.
+# The ASF licenses this file to You under the Apache License, Version 2.0
+# (the "License"); you may not use this file except in compliance with
+# the License.  You may obtain a copy of the License at
+#
+#    http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+import os
+"""
+OWN = dict(licence_texts())
+MIT_LINE = " ".join(OWN["MIT"].split("\n\n")[2].split())
+KNOWN = {
+    "BSD-3-Clause": OWN["BSD-3-Clause"].replace("<year>, <owner>", "2019, The Frob Authors"),
+    "BSD-2-Clause": "// " + OWN["BSD-2-Clause"].replace("<year>, <owner>", "2019 Frob, Inc.").replace("\n", "\n// "),
+    "GPL-3.0": GPL_HEADER,
+    "Apache-2.0": ASF_HEADER,
+    "MIT": "frob, a program\n" + MIT_LINE + "\nmore about it\n",
+    "Proprietary": "# Copyright 2020 X. All rights reserved.\nx = 1\n",
+    "MPL-2.0": OWN["MPL-2.0"],
+    "LGPL-3.0": OWN["LGPL-3.0"],
+    "ISC": OWN["ISC"].replace("<year> <owner>", "2001-2020, Frob"),
+}
+UNKNOWN = [
+    "the rights of all are\nreserved for the person",
+    "A driver's license is granted to a person who may redistribute nothing.\n" * 5,
+    "This program is free for schools, and its warranty is limited to the purpose that the public see.",
+    "The conditions of the contract limit the liability of the software company for damages.",
+]
+
+
+@pytest.mark.parametrize("name", KNOWN)
+def test_texts_and_headers_as_they_are_published(name):
+    got = Matcher().text(KNOWN[name], windows=True)
+    assert got[1] == name and got[0] >= THRESHOLD
+
+
+@pytest.mark.parametrize("text", UNKNOWN)
+def test_other_texts_have_none(text):
+    assert Matcher().text(text, windows=True) is None
+
+
+@pytest.mark.parametrize("text", [*KNOWN.values(), *UNKNOWN, KNOWN["Proprietary"] * 3 + ASF_HEADER, "x " * 300, ""])
+def test_same_as_all_units_against_all_templates(text):
+    for windows in (False, True):
+        text = " ".join(text.split(" ")[:900])
+        got, want = Matcher().text(text, windows), brute_text(text, windows)
+        assert (got and (pytest.approx(got[0], abs=2e-9), got[1])) == want
+
+
+def test_wrapped_texts_in_the_query(spark, tmp_path):
     gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n"
-    texts = {10: bsd, 20: mit, 30: gpl, 1: "x = 1\n/* Copyright (c) 2020 Foo Inc. All rights reserved. */\n", 2: "the rights of all are\nreserved for the person", 3: mit * 200}
+    texts = {10: KNOWN["BSD-3-Clause"], 20: KNOWN["MIT"], 30: gpl, 1: "x = 1\n/* Copyright (c) 2020 Foo Inc. All rights reserved. */\n", 2: UNKNOWN[0], 3: KNOWN["MIT"] * 200}
     spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.license, r.score) for r in op10_licenses(spark, str(tmp_path)).filter("origin = 'own'").collect()}
-    assert got == {10: ("BSD-3-Clause", 1.0), 20: ("MIT", 1.0), 30: ("GPL-3.0", 1.0), 1: ("Proprietary", 1.0), 3: ("MIT", 1.0)}
+    got = {r.doc_id: r.license for r in op10_licenses(spark, str(tmp_path)).filter("origin = 'own'").collect()}
+    assert got == {10: "BSD-3-Clause", 20: "MIT", 30: "GPL-3.0", 1: "Proprietary", 3: "MIT"}
