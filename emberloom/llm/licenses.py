@@ -11,9 +11,10 @@ WINDOW_WORDS has, across line breaks, comment marks and within longer lines.
 A unit matches where its cosine is at least `threshold`. A text's licence is that of
 its best match: templates of LONG_WORDS words or more (texts and headers) go before
 notices, which licence texts may quote; then the larger cosine (to nine digits), then
-the smaller name. Every template has a few words without one of which no unit reaches
-the threshold (the weight of all its other words is too small); units without such a
-word are passed over, which changes no result.
+the smaller name. The squared cosine of a unit is at most the share of a template's
+squared weights that lies in words of the unit. So a text's distinct words tell which
+templates any of its units can match at all, most often none, and units that lack a
+template's heaviest words are passed over; neither changes a result.
 
 A file without a licence of its own inherits from the nearest ancestor directory
 that holds a licence file (its own directory first): the distinct directories are
@@ -94,29 +95,35 @@ class Matcher:
             v = {w: n * self.idf[w] for w, n in bag.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append((name, sum(bag.values()), {w: x / norm for w, x in v.items()}, set()))
-        # Words are taken, long ones first and those of many templates, until the rest of each is too light.
-        rest = [1.0] * len(self.vectors)
-        weight = Counter()
-        for _, _, v, _ in self.vectors:
-            weight.update({w: x * x for w, x in v.items()})
-        for w in sorted(df, key=lambda w: (len(w) < 5, -weight[w], w)):
-            for k, (_, _, v, needed) in enumerate(self.vectors):
-                if w in v and rest[k] >= (threshold - 1e-6) ** 2:
+        self.least = (threshold - 1e-6) ** 2
+        self.index: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, _, v, needed) in enumerate(self.vectors):
+            rest = 1.0
+            for w, x in sorted(v.items(), key=lambda e: (-e[1], e[0])):
+                self.index.setdefault(w, []).append((k, x * x))
+                if rest >= self.least:  # the heaviest words, until all others are too light
                     needed.add(w)
-                    rest[k] -= v[w] ** 2
-        self.words = sorted(set().union(*(needed for *_, needed in self.vectors)))
-        self.heavy = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, self.words)) + r")(?![^\W_])")
+                    rest -= x * x
 
-    def best(self, words: list[str]) -> tuple[bool, float, str] | None:
+    def able(self, words: set[str]) -> list[int]:
+        """The templates that a unit of these distinct words may match."""
+        mass: Counter = Counter()
+        for w in words & self.index.keys():
+            for k, x in self.index[w]:
+                mass[k] += x
+        return [k for k, x in mass.items() if x >= self.least]
+
+    def best(self, words: list[str], able: list[int]) -> tuple[bool, float, str] | None:
         """(no notice but a text or header, cosine, licence) of a unit's best match."""
-        bag, best = Counter(words), None
-        if not bag:
-            return None
-        v = {w: n * self.idf.get(w, self.unknown) for w, n in bag.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        for name, size, t, needed in self.vectors:
-            if needed.isdisjoint(bag):
+        bag, best, norm = None, None, 0.0
+        for k in able:
+            name, size, t, needed = self.vectors[k]
+            if needed.isdisjoint(words):
                 continue
+            if bag is None:
+                bag = Counter(words)
+                v = {w: n * self.idf.get(w, self.unknown) for w, n in bag.items()}
+                norm = math.sqrt(sum(x * x for x in v.values()))
             few, many = (v, t) if len(v) < len(t) else (t, v)
             score = sum(x * many[w] for w, x in few.items() if w in many) / norm
             if score >= self.threshold:
@@ -130,21 +137,17 @@ class Matcher:
             return a or b
         return min(a, b, key=lambda m: (not m[0], -m[1], m[2]))
 
-    def windows(self, words: list[str]) -> tuple[bool, float, str] | None:
+    def windows(self, words: list[str], able: list[int]) -> tuple[bool, float, str] | None:
         """The best match among all runs of words of a template's length."""
         weigh = [self.idf.get(w, self.unknown) for w in words]
-        places: dict[str, list[int]] = {}
-        known = set(self.words)
-        for i, w in enumerate(words):
-            if w in known:
-                places.setdefault(w, []).append(i)
         best = None
-        for name, length, t, needed in self.vectors:
-            if length > WINDOW_WORDS or needed.isdisjoint(places):
+        for k in able:
+            name, length, t, needed = self.vectors[k]
+            if length > WINDOW_WORDS:
                 continue
             size, done = min(length, len(words)), 0
             spans: list[list[int]] = []  # of starts: only windows with a needed word can reach the threshold
-            for at in sorted(i for w in needed for i in places.get(w, ())):
+            for at in (i for i, w in enumerate(words) if w in needed):
                 a, done = max(done, at - size + 1), max(done, min(at, len(words) - size) + 1)
                 if a < done:
                     if spans and spans[-1][1] == a:
@@ -172,18 +175,15 @@ class Matcher:
     def text(self, text: str | None, windows: bool = False) -> tuple[float, str] | None:
         """(cosine, licence) of a text."""
         text = (text or "").lower()
-        if not any(w in text for w in self.words) or not self.heavy.search(text):
-            return None
         words = _WORD.findall(text)
-        best, seen = self.best(words), -1
-        for hit in self.heavy.finditer(text):
-            if hit.start() < seen:
-                continue
-            a, b = text.rfind("\n", 0, hit.start()) + 1, text.find("\n", hit.end())
-            seen = len(text) if b < 0 else b
-            best = self.better(best, self.best(_WORD.findall(text[a:seen])))
+        able = self.able(set(words))
+        if not able:
+            return None
+        best = self.best(words, able)
+        for line in text.split("\n"):
+            best = self.better(best, self.best(_WORD.findall(line), able))
         if windows:
-            best = self.better(best, self.windows(words))
+            best = self.better(best, self.windows(words, able))
         return best and best[1:]
 
 
