@@ -9,8 +9,10 @@ probabilities are the mean over all its windows, weighted by their letters.
 As the input is one-hot, a filter of width 4 is the sum of two looked-up values,
 one for each pair of bytes, so that whole texts are scored by table look-ups.
 
-Training is by Adam on a bounded sample: for each language at most SAMPLE_DOCS
-rows (those of smallest id hash), at most SAMPLE_WINDOWS windows of each.
+Training is by Adam on a bounded sample: of each language that occurs `sample_docs`
+rows at most (those of smallest id hash; fewer, but one at least, where all languages
+together would exceed `sample_total`), and `sample_windows` windows of each, drawn from
+the whole text.
 
 Defined results: null, empty and letterless texts are `und` with score 0; rows
 with a null language are not learned from; with no labelled row everything is
@@ -29,10 +31,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import column, text_chunks
 
 WINDOW, WIDTHS, FILTERS, CLASSES = 256, (2, 3, 4), 8, 128
-SAMPLE_DOCS, SAMPLE_WINDOWS, MAX_LANGS = 500, 4, 200
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_TOTAL = 500, 4, 20_000
+#: Windows that are scored at once; longer texts are taken piece by piece.
+PIECE = 4096
 STEPS, BATCH, RATE, SEED = 500, 64, 0.01, 7
 
 
@@ -95,12 +99,12 @@ class Network:
         out, score = ["und"] * len(held), np.zeros(len(held))
         if not self.langs:
             return out, score
-        cls, doc = windows([x or b"" for x in held])
-        weight = letters(cls).astype(float)
-        p = np.zeros((len(held), len(self.langs)))
-        for a in range(0, len(cls), 4096):
-            np.add.at(p, doc[a : a + 4096], np.exp(self.forward(cls[a : a + 4096])) * weight[a : a + 4096, None])
-        total = np.bincount(doc, weight, len(held))
+        p, total = np.zeros((len(held), len(self.langs))), np.zeros(len(held))
+        for at, parts in _pieces(held):
+            cls, part = windows(parts)
+            weight, doc = letters(cls).astype(float), np.array(at)[part]
+            np.add.at(p, doc, np.exp(self.forward(cls)) * weight[:, None])
+            total += np.bincount(doc, weight, len(held))
         for i, x in enumerate(held):
             if total[i] and (cls_has_ascii(x) or any(c.isalpha() for c in x.decode("utf-8", "ignore"))):
                 best = int(np.argmax(p[i]))
@@ -108,6 +112,21 @@ class Network:
         return out, score
 
 
+def _pieces(held: list[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts in runs of about PIECE windows, long ones cut between windows: (text, piece) lists."""
+    at, parts, n = [], [], 0
+    for i, x in enumerate(held):
+        for a in range(0, len(x or b""), PIECE * WINDOW):
+            at.append(i)
+            parts.append(x[a : a + PIECE * WINDOW])
+            n += -(-len(parts[-1]) // WINDOW)
+            if n >= PIECE:
+                yield at, parts
+                at, parts, n = [], [], 0
+    if parts:
+        yield at, parts
+
+
 def cls_has_ascii(raw: bytes) -> bool:
     """Whether a text has an ASCII letter, by far the usual case."""
     return raw.upper() != raw or raw.lower() != raw
@@ -118,6 +137,31 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def gradients(net: Network, x: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean cross entropy of windows and its derivatives by the filters, bias, dense and shift."""
+    rows, at, raw = np.arange(len(x)), [], []
+    for w, conv in zip(WIDTHS, net.conv, strict=True):
+        r = sum(conv[j][x[:, j : WINDOW - w + 1 + j]] for j in range(w))
+        best = r.argmax(axis=1)
+        at.append(best)
+        raw.append(np.take_along_axis(r, best[:, None, :], 1)[:, 0, :])
+    z = np.hstack(raw) + net.bias
+    h = np.maximum(z, 0)
+    logs = _log_softmax(h @ net.dense + net.shift)
+    p = np.exp(logs)
+    p[rows, target] -= 1
+    p /= len(x)
+    dh = (p @ net.dense.T) * (z > 0)
+    grads = []
+    for i, w in enumerate(WIDTHS):
+        g = np.zeros_like(net.conv[i])
+        d = dh[:, i * FILTERS : (i + 1) * FILTERS]
+        for j in range(w):
+            np.add.at(g[j], (x[rows[:, None], at[i] + j], np.arange(FILTERS)[None, :]), d)
+        grads.append(g)
+    return -float(logs[rows, target].mean()), [*grads, dh.sum(axis=0), h.T @ p, p.sum(axis=0)]
+
+
 def fit(samples: list[tuple[str, bytes]], steps: int = STEPS) -> Network:
     """Train on (language, window of bytes); batches draw the languages evenly."""
     langs = sorted({x for x, _ in samples})
@@ -133,28 +177,7 @@ def fit(samples: list[tuple[str, bytes]], steps: int = STEPS) -> Network:
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         pick = np.array([rng.choice(members[k]) for k in rng.integers(0, len(langs), BATCH)])
-        x, target = cls[pick], y[pick]
-        rows = np.arange(BATCH)
-        at, raw = [], []
-        for w, conv in zip(WIDTHS, net.conv, strict=True):
-            r = sum(conv[j][x[:, j : WINDOW - w + 1 + j]] for j in range(w))
-            best = r.argmax(axis=1)
-            at.append(best)
-            raw.append(np.take_along_axis(r, best[:, None, :], 1)[:, 0, :])
-        z = np.hstack(raw) + net.bias
-        h = np.maximum(z, 0)
-        p = np.exp(_log_softmax(h @ net.dense + net.shift))
-        p[rows, target] -= 1
-        p /= BATCH
-        dh = (p @ net.dense.T) * (z > 0)
-        grads = []
-        for i, w in enumerate(WIDTHS):
-            g = np.zeros_like(net.conv[i])
-            d = dh[:, i * FILTERS : (i + 1) * FILTERS]
-            for j in range(w):
-                np.add.at(g[j], (x[rows[:, None], at[i] + j], np.arange(FILTERS)[None, :]), d)
-            grads.append(g)
-        grads += [dh.sum(axis=0), h.T @ p, p.sum(axis=0)]
+        _, grads = gradients(net, cls[pick], y[pick])
         rate = RATE * (1 - step / (steps + 1))
         for q, g, a, b in zip(params, grads, m, v, strict=True):
             a *= 0.9
@@ -165,30 +188,33 @@ def fit(samples: list[tuple[str, bytes]], steps: int = STEPS) -> Network:
     return net
 
 
-def _sample_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for key, lang, text in zip(pdf["key"], pdf["lang"], pdf["text"], strict=True):
-            raw = text.encode("utf-8", "replace")
-            n = max(1, len(raw) // WINDOW)
-            rng = np.random.default_rng(key & 0xFFFFFFFF)
-            for k in sorted(rng.choice(n, min(n, SAMPLE_WINDOWS), replace=False).tolist()):
-                if len(cut := raw[k * WINDOW : (k + 1) * WINDOW]):
-                    rows.append((key, lang, cut))
-        yield pd.DataFrame(rows, columns=["key", "lang", "cut"])
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Fit on the sample of docs with text and language (at most MAX_LANGS languages, the most frequent)."""
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED)).alias("key")
-    known = docs.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
-    top = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    ids = known.select(key, F.col(lang_col).alias("lang")).join(F.broadcast(top), "lang")
-    ranked = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("n") <= SAMPLE_DOCS)
-    chosen = ranked.select("key", "lang").distinct()  # at most MAX_LANGS * SAMPLE_DOCS rows
-    texts = known.select(key, F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), ["key", "lang"])
-    cuts = texts.mapInPandas(_sample_windows, "key long, lang string, cut binary").orderBy("key", "lang", "cut").limit(MAX_LANGS * SAMPLE_DOCS * SAMPLE_WINDOWS)
-    return fit([(r.lang, bytes(r.cut)) for r in cuts.collect()])
+def _sample_windows(count: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, lang, text in zip(pdf["key"], pdf["lang"], pdf["text"], strict=True):
+                raw = text.encode("utf-8", "replace")
+                n = max(1, len(raw) // WINDOW)
+                rng = np.random.default_rng(key & 0xFFFFFFFF)
+                for j, k in enumerate(sorted(rng.choice(n, min(n, count), replace=False).tolist())):
+                    if len(cut := raw[k * WINDOW : (k + 1) * WINDOW]):
+                        rows.append((key, lang, j, cut))
+            yield pd.DataFrame(rows, columns=["key", "lang", "j", "cut"])
+
+    return run
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, sample_total: int = SAMPLE_TOTAL) -> Network:
+    """Fit on the sample of docs with text and language; every language is learned."""
+    key = F.xxhash64(column(id_col).cast("string"), F.lit(SEED)).alias("key")
+    known = docs.filter(column(lang_col).isNotNull() & (F.length(F.trim(column(text_col))) > 0)).select(key, column(lang_col).alias("lang"), column(text_col).cast("string").alias("text"))
+    langs = known.select("lang").distinct().count()
+    share = max(1, min(sample_docs, sample_total // max(1, langs)))
+    ranked = known.select("key", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("n") <= share)
+    chosen = ranked.select("key", "lang").distinct()  # at most sample_total rows, or one a language
+    cuts = known.join(F.broadcast(chosen), ["key", "lang"]).mapInPandas(_sample_windows(sample_windows), "key long, lang string, j int, cut binary")
+    cuts = cuts.groupBy("key", "lang", "j").agg(F.min("cut").alias("cut"))  # repeated rows once
+    return fit([(r.lang, bytes(r.cut)) for r in cuts.orderBy("key", "lang", "j").collect()])
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +226,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
                 lang, score = net.predict(held)
                 yield pd.DataFrame({"id": ids, "lang_pred": lang, "score": score})
 
-    src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(column(id_col).cast("string").alias("id"), column(text_col).cast("string").alias("text"))
     out = src.mapInPandas(run, "id string, lang_pred string, score double")
     return out.select(F.col("id").cast("long").alias(id_col), "lang_pred", "score")
 

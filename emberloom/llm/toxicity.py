@@ -9,9 +9,10 @@ non-ASCII bytes, lower-cased) of the whole text. For each category the
 regression fitted by Newton's method with a ridge penalty. The last category's
 threshold is the one of best F1 on the out-of-fold predictions.
 
-Training takes a bounded sample: the `sample_rows` labelled rows of smallest id
-hash, each with at most `sample_words` distinct words (those of smallest hash),
-texts of equal words once. Scoring reads every word of every text.
+Training takes a bounded sample, the `sample_rows` labelled rows of smallest id hash,
+with all words of their texts; texts of equal words count once. Words are counted by
+the executors; the driver gets the features of the sampled rows only. Scoring reads
+every word of every text.
 
 Defined results: null and empty texts have no words and get the score of the
 intercepts; rows with a null label are not trained on; a category with one class
@@ -22,6 +23,7 @@ and are ignored by `score`; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, text_chunks
+from .common import Hasher, column, scratch_scope, stage_table, text_chunks
 
-SAMPLE_ROWS, SAMPLE_WORDS, N_FEATURES, FOLDS, RIDGE, LEAST_DOCS = 4000, 4096, 128, 5, 1.0, 5
+SAMPLE_ROWS, N_FEATURES, FOLDS, RIDGE, LEAST_DOCS = 6000, 128, 5, 1.0, 5
 
 
 @dataclass
@@ -131,30 +133,59 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, names: list[str]) -> C
 
 
 def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sorted distinct word hashes of each text, as bytes, and their digest."""
     hasher = Hasher("alnum")
     for pdf in batches:
         for ids, held in text_chunks(pdf.index, pdf["text"]):
             h, _, _, first, _ = hasher.batch([(x or b"").lower() for x in held])
-            sets = [np.unique(h[a:b])[:SAMPLE_WORDS].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            part = pdf.loc[ids].drop(columns="text")
-            yield part.assign(words=sets)
+            sets = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pdf.loc[ids].drop(columns="text").assign(words=sets, digest=[hashlib.md5(x).hexdigest() for x in sets])
+
+
+def _count_words(ys: list[str]):
+    """Of each word: the rows that have it, and those of each category among them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words, at = np.unique(np.frombuffer(b"".join(map(bytes, pdf["words"])), np.int64), return_inverse=True)
+            row = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["words"]])
+            sums = {y: np.bincount(at, pdf[y].to_numpy(float)[row], len(words)) for y in ys}
+            yield pd.DataFrame({"word": words, "n": np.bincount(at, minlength=len(words)).astype(float), **sums})
+
+    return run
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Chain:
     """Fit on the labelled rows' sample. categories: name to a boolean SQL expression over labels, in chain order."""
-    known = labels.select(F.col(id_col).cast("long").alias("id"), *[F.expr(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())]).dropna()
-    sample = known.orderBy(F.xxhash64("id"), "id", *[f"y{k}" for k in range(len(categories))]).limit(sample_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = texts.join(F.broadcast(sample), "id")  # at most sample_rows rows
     ys = [f"y{k}" for k in range(len(categories))]
-    rows = held.mapInPandas(_distinct_words, "id long, " + ", ".join(f"{y} int" for y in ys) + ", words binary").orderBy("id", *ys, "words").limit(2 * sample_rows).collect()
-    once: dict[bytes, list[int]] = {}
-    while rows:  # texts of equal words once, else a group of copies would teach its own words
-        r = rows.pop()
-        once[bytes(r.words)] = [r[y] for y in ys]
-    sets = [np.frombuffer(words, np.uint64) for words in once]
-    y = np.array(list(once.values())).reshape(len(sets), len(ys))
-    return fit_chain(sets, y, list(categories))
+    known = labels.select(column(id_col).cast("long").alias("id"), *[F.expr(c).cast("int").alias(y) for y, c in zip(ys, categories.values(), strict=True)]).dropna()
+    sample = known.orderBy(F.xxhash64("id"), "id", *ys).limit(sample_rows)
+    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    held = texts.join(F.broadcast(sample), "id")  # at most sample_rows rows
+    sets = held.mapInPandas(_distinct_words, "id long, " + ", ".join(f"{y} int" for y in ys) + ", words binary, digest string")
+    with scratch_scope(docs.sparkSession, "toxicity"):
+        # Texts of equal words once, else a group of copies would teach its own words.
+        once = sets.groupBy("digest").agg(F.min(F.struct("id", *ys)).alias("label"), F.first("words").alias("words"))
+        rows = stage_table(once.orderBy("digest").limit(sample_rows).select("digest", "label.*", "words"), "sample")
+        total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
+        counts = rows.mapInPandas(_count_words(ys), "word long, n double, " + ", ".join(f"{y} double" for y in ys))
+        counts = stage_table(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).filter(F.col("n") >= LEAST_DOCS), "words")
+        picked: set[int] = set()
+        for y in ys:  # the same choice as in fit_chain, which sees no other words then
+            rate = total[y] / max(1, total.n)
+            chi = F.expr(f"pow({y} - n * {rate!r}D, 2) / nullif(n * {rate * (1 - rate)!r}D * (1 - n / {total.n}D), 0D)")
+            best = counts.select("word", chi.alias("chi")).filter("chi > 0").orderBy(F.desc("chi"), F.col("word").bitwiseXOR(F.lit(-(1 << 63)))).limit(N_FEATURES)
+            picked |= {r.word for r in best.collect()}
+        features = np.sort(np.array(sorted(picked), np.int64).view(np.uint64))
+
+        def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+                yield pdf.assign(words=[x[np.isin(x, features)].tobytes() for x in own])
+
+        got = rows.mapInPandas(keep, rows.schema).orderBy("digest").collect()  # at most sample_rows short rows
+    sets = [np.frombuffer(bytes(r.words), np.uint64) for r in got]
+    return fit_chain(sets, np.array([[r[y] for y in ys] for r in got]).reshape(len(sets), len(ys)), list(categories))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +199,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
                 p = chain.probabilities(hasher, held)
                 yield pd.DataFrame({"id": ids, **dict(zip(names, p.T, strict=True)), "rejected": p[:, -1] >= chain.threshold})
 
-    src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(column(id_col).cast("string").alias("id"), column(text_col).cast("string").alias("text"))
     out = src.mapInPandas(run, "id string, " + ", ".join(f"{n} double" for n in names) + ", rejected boolean")
     return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
 
