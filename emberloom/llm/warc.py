@@ -9,7 +9,9 @@ update replaced by the revisit's own.
 
 Times are cut into buckets: a response is sought in the revisit's bucket by a
 window over (URL, bucket), and before it in the buckets' latest responses, one row
-each. So a URL that holds a third of all records is many small groups.
+each. A URL with more than `hot_rows` records in a bucket has that bucket cut finer in
+proportion, down to single seconds, within which nothing is earlier and no window is
+needed. So a URL that holds a third of all records is many small groups.
 
 Canonical URLs have no scheme, user name, leading www., default port, fragment,
 tracking parameters or trailing slash; the host is in lower case and parameters
@@ -26,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage_table
+
 # What a 304 response may carry to update a stored response (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 # Parameters that only track visitors.
@@ -49,7 +53,7 @@ def _entries(headers: str) -> Column:
     return F.array_sort(low)
 
 
-def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400, hot_rows: int = 100_000) -> DataFrame:
     """records: record_id long, url, captured_at long (seconds), kind ('response', 'revisit'
     or other), etag, last_modified, headers map<string,string>, digest.
 
@@ -66,12 +70,20 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
         _entries("headers").alias("headers"),
         "digest",
     )
-    rows = rows.withColumn("bucket", F.floor(F.col("at") / bucket_seconds))
     full = F.struct("at", "record_id", "etag", "last_modified", "headers", "digest")
     rows = rows.withColumn("own", F.when((F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url_key").isNotNull(), full))
 
     # A null URL or time meets nothing; such rows stay out of the windows, which they would fill.
+    # The narrow records are read several times, the table that they come from once.
+    rows = stage_table(rows.withColumn("span", F.floor(F.col("at") / bucket_seconds)), "revisits")
     timed = rows.filter("url_key IS NOT NULL AND at IS NOT NULL")
+    counts = timed.groupBy("url_key", "span").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+    step = F.greatest(F.lit(1), F.floor(F.lit(bucket_seconds * hot_rows) / F.col("n")))
+    fine = counts.select(F.col("url_key").alias("hot_url"), F.col("span").alias("hot_span"), step.alias("step"))
+    timed = timed.join(fine, F.expr("url_key = hot_url AND span = hot_span"), "left").withColumn("step", F.coalesce("step", F.lit(bucket_seconds)))
+    # A bucket is named by its first second, so that buckets of all lengths are in the order of time.
+    begin = F.col("span") * bucket_seconds
+    timed = timed.withColumn("bucket", begin + F.floor((F.col("at") - begin) / F.col("step")) * F.col("step"))
     rest = rows.filter("url_key IS NULL OR at IS NULL").withColumn("found", F.lit(None).cast(rows.schema["own"].dataType))
 
     within = Window.partitionBy("url_key", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
@@ -79,7 +91,9 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     heads = timed.select("url_key", "bucket").distinct().join(last, ["url_key", "bucket"], "left")
     before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = heads.select("url_key", "bucket", F.max("own").over(before).alias("carried")).filter("carried IS NOT NULL")
-    near = timed.withColumn("near", F.max("own").over(within)).join(carried, ["url_key", "bucket"], "left")
+    long = timed.filter("step > 1").withColumn("near", F.max("own").over(within))
+    short = timed.filter("step = 1").withColumn("near", F.lit(None).cast(rows.schema["own"].dataType))
+    near = long.unionByName(short).join(carried, ["url_key", "bucket"], "left")
     out = near.withColumn("found", F.coalesce("near", "carried")).select(*rest.columns).unionByName(rest)
 
     weak = lambda c: F.regexp_replace(c, "^W/", "")

@@ -43,8 +43,8 @@ def test_as_of_over_buckets(spark):
             pairs = [(x.replace("W/", ""), y.replace("W/", "")) for x, y in ((r[4], f[4]), (r[5], f[5])) if x and y]
             want.append((r[0], "no_validator", None) if not pairs else (r[0], "resolved", f[0]) if pairs[0][0] == pairs[0][1] else (r[0], "validator_mismatch", None))
     df = spark.createDataFrame(rows, SCHEMA).withColumn("bucket", F_lit())
-    for seconds in (50, 100_000):
-        out = resolve_revisits(df, bucket_seconds=seconds).collect()
+    for seconds, hot in ((50, 100_000), (100_000, 100_000), (100_000, 2), (700, 20), (700, 0)):
+        out = resolve_revisits(df, bucket_seconds=seconds, hot_rows=hot).collect()
         assert sorted(((r.record_id, r.outcome, r.resolved_id) for r in out), key=str) == sorted(want, key=str)
     one = next(r for r in out if r.outcome == "resolved")
     assert {e.key: e.value for e in one.headers} == {"date": str(one.record_id), "x": str(one.resolved_id)}
