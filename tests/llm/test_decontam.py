@@ -2,12 +2,13 @@ import random
 
 from emberloom.llm.common import Hasher
 from emberloom.llm.decontam import Index, drop_contaminated, find_matches
+from emberloom.llm.registry import op6_benchmark_matches
 
 
 def words(text):
     import re
 
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+    return re.findall(r"[\u3041-\u30ff\u3400-\u9fff]|[^\W_\u3041-\u30ff\u3400-\u9fff]+", (text or "").lower())
 
 
 def distance(item, text):
@@ -26,7 +27,7 @@ def brute(docs, items, rate=0.25, least=5):
     for d, t in docs:
         for i, x in items:
             w = words(x)
-            if len(w) >= least and (n := distance(w, words(t))) <= int(rate * len(w)):
+            if w and (n := distance(w, words(t))) <= (int(rate * len(w)) if len(w) >= least else 0):
                 out.add((d, i, n))
     return out
 
@@ -34,7 +35,7 @@ def brute(docs, items, rate=0.25, least=5):
 def corpus(seed):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(3, 90)))) for i in range(25)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(1, 90)))) for i in range(25)]
     docs = []
     for d in range(150):
         text = rng.choices(vocab, k=rng.randrange(0, 120))
@@ -69,10 +70,28 @@ def test_edge_rows(spark):
     passage = "one two three four five six seven eight"
     docs = [(None, passage, 1), (1, None, 1), (2, "", 1), (3, passage.upper(), 1), (3, passage.upper(), 1), (4, "pad " * 50_000 + passage, 2**60 + 1)]
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id long")
-    b = spark.createDataFrame([(1, passage), (2, None), (3, "one two"), (None, passage)], "item_id long, text string")
+    b = spark.createDataFrame([(1, passage), (2, None), (3, "one two"), (4, "two one"), (5, " -- "), (None, passage)], "item_id long, text string")
     got = sorted((r.doc_id or 0, r.item_id or 0, r.distance) for r in find_matches(d, b).collect())
-    assert got == sorted((x, i, 0) for x in (0, 3, 3, 4) for i in (0, 1))
+    assert got == sorted((x, i, 0) for x in (0, 3, 3, 4) for i in (0, 1, 3))
     assert sorted(r.doc_id for r in drop_contaminated(d, b).collect()) == [1, 2]
     none = spark.createDataFrame([], d.schema)
     assert find_matches(none, b).collect() == [] and find_matches(d, b.limit(0)).collect() == []
     assert drop_contaminated(d, b.limit(0)).count() == len(docs)
+
+
+def test_scripts_quotes_and_short_items(spark):
+    docs = [(1, "Er sagte: \u201eDer Fluss fließt leise\u201c \u2014 und ging."), (2, "昔々あるところにおじいさんとおばあさんがいました。"), (3, "naïve\u00a0café"), (4, "昔々ある山に"), (5, "yes"), (6, "yesterday")]
+    items = [(1, 'er sagte "der fluss fließt leise" und ging'), (2, "あるところにおじいさんと"), (3, "naïve café"), (4, "yes"), (5, "おじいさんとおばあさんかいました")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in find_matches(d, b).collect()}
+    assert got == brute(docs, items) == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (5, 4, 0), (2, 5, 1)}
+
+
+def test_query_same_as_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 20_000]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id, r.distance) for r in op6_benchmark_matches(spark, sf).collect()}
+    found = {x[0] for x in got}
+    some = [(d, t) for d, t in docs if d in found or d % 20 == 0]  # the plain distance is slow
+    assert {x for x in got if x[0] in dict(some)} == brute(some, items)
