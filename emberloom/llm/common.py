@@ -15,6 +15,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,20 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return rows.join(groups, F.bitwise_not(rows[key]) == groups[other]).drop(other)
 
 
+def filter_rows(df: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns of any name, for whose texts a judge says so. judge() makes one in each task."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # mapInArrow looks columns up by name
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def separators(words: str = "space") -> np.ndarray:
     """256 booleans: which bytes separate words. "space" is [\\x20\\x09-\\x0D];
     "alnum" makes every ASCII byte other than a letter or digit a separator."""

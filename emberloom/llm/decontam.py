@@ -31,11 +31,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Hasher, column, ngrams, stage_path, stage_table
+from .common import CHUNK_BYTES, Hasher, column, filter_rows, ngrams, stage_path, stage_table
 
 ERROR_RATE, EXACT_BELOW, BLOCK_BYTES = 0.25, 5, 8 << 20
 _BITS = 20
@@ -196,20 +195,16 @@ def find_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, exact_below: int = EXACT_BELOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, whose texts hold no item."""
 
-    def keep(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(index: Index):
+        def make():
             hasher = Hasher("alnum")
-            for batch in batches:
-                texts = batch.column(text_col).to_pylist()
-                flags = [not own for _, held in _chunks(texts, texts) for own in index.matches(hasher, held)]
-                if flags:
-                    yield batch.filter(pa.array(flags))
+            return lambda texts: [not own for _, held in _chunks(texts, texts) for own in index.matches(hasher, held)]
 
-        return run
+        return make
 
     n, blocks = _blocks(bench, item_col, item_text_col, block_bytes)
     for block in blocks:
-        docs = docs.mapInArrow(keep(Index.of(block, error_rate, exact_below)), docs.schema)
+        docs = filter_rows(docs, text_col, judge(Index.of(block, error_rate, exact_below)))
         if n > 1:
             docs = stage_table(docs, "decontaminated")
     return docs

@@ -29,11 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, column, scratch_scope, stage_table, text_chunks
+from .common import Hasher, column, filter_rows, scratch_scope, stage_table, text_chunks
 
 SAMPLE_ROWS, N_FEATURES, FOLDS, RIDGE, LEAST_DOCS = 6000, 128, 5, 1.0, 5
 
@@ -207,12 +206,8 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 def clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that the chain's last category does not reject."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         hasher = Hasher("alnum")
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            keep = [chain.probabilities(hasher, held)[:, -1] < chain.threshold for _, held in text_chunks(texts, texts)]
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+        return lambda texts: np.concatenate([chain.probabilities(hasher, held)[:, -1] < chain.threshold for _, held in text_chunks(texts, texts)]).tolist()
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, text_col, judge)
