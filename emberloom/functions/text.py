@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,21 +72,21 @@ def _longest_first(parts: dict[str, str]) -> list[tuple[str, str]]:
     return sorted(parts.items(), key=lambda kv: -len(kv[0]))  # stable: of equal length in vocabulary order
 
 
+def _detect(name: Column, parts: dict[str, str], meets: Callable, rest: Callable) -> Column:
+    """One lookup in an array of parts, longest first, instead of a branch for each."""
+    table = F.array(*[F.struct(F.lit(p).alias("component"), F.lit(c).alias("category")) for p, c in _longest_first(parts)])
+    hits = F.filter(table, lambda x: meets(name, x["component"]) & (F.length(name) > F.length(x["component"])))
+    cut = F.transform(F.slice(hits, 1, 1), lambda x: F.struct(x["component"].alias("component"), x["category"].alias("category"), rest(name, F.length(name) - F.length(x["component"])).alias("remaining")))
+    return F.get(cut, F.lit(0))
+
+
 def detect_suffix(name: Column, parts: dict[str, str] | None = None) -> Column:
     """(component, category, remaining) of the longest ending that leaves something over, or null."""
-    out = F.lit(None).cast("struct<component:string,category:string,remaining:string>")
-    for part, category in reversed(_longest_first(parts or vocab.SUFFIXES)):
-        rest = F.left(name, F.length(name) - len(part))
-        out = F.when(F.endswith(name, F.lit(part)) & (F.length(name) > len(part)), F.struct(F.lit(part).alias("component"), F.lit(category).alias("category"), rest.alias("remaining"))).otherwise(out)
-    return out
+    return _detect(name, parts or vocab.SUFFIXES, F.endswith, F.left)
 
 
 def detect_prefix(name: Column, parts: dict[str, str] | None = None) -> Column:
-    out = F.lit(None).cast("struct<component:string,category:string,remaining:string>")
-    for part, category in reversed(_longest_first(parts or vocab.PREFIXES)):
-        rest = F.right(name, F.length(name) - len(part))
-        out = F.when(F.startswith(name, F.lit(part)) & (F.length(name) > len(part)), F.struct(F.lit(part).alias("component"), F.lit(category).alias("category"), rest.alias("remaining"))).otherwise(out)
-    return out
+    return _detect(name, parts or vocab.PREFIXES, F.startswith, F.right)
 
 
 def detect_embedded(name: Column, parts: dict[str, str] | None = None) -> Column:

@@ -40,10 +40,25 @@ def usable_entries(clusters: DataFrame, embeddings: DataFrame, id_col: str = "id
     return clusters.withColumn(cluster_col, F.coalesce(cluster_col, F.lit(-1))).join(have, id_col, "left").withColumn("has_embedding", F.coalesce("has_embedding", F.lit(False)))
 
 
+def only_usable(entries: DataFrame, cluster_col: str = "cluster_id") -> DataFrame:
+    """Entries of usable_entries() that have an embedding and a cluster."""
+    return entries.filter(F.col("has_embedding") & (F.col(cluster_col) != -1))
+
+
+def fully_labelled(df: DataFrame, labels: list[str]) -> DataFrame:
+    """Rows that have all the labels."""
+    return df.na.drop(subset=labels)
+
+
+def describable(entries: DataFrame, cluster_col: str = "cluster_id", summary_col: str = "summary") -> DataFrame:
+    """Entries of a cluster whose summary has more than 30 characters."""
+    return entries.filter((F.col(cluster_col) != -1) & (F.length(summary_col) > 30))
+
+
 def group_pairs(df: DataFrame, group: str, id_col: str = "id") -> DataFrame:
     """(group, a, b): unordered pairs of one group; a pair that shares two groups comes twice.
 
-    Emits the square of a group's size: cap_pairs() is its bounded form."""
+    Emits the square of a group's size, as the pairs are what is asked for; sample_pairs() keeps a bounded number."""
     left = df.select(F.col(group), F.col(id_col).alias("a"))
     right = df.select(F.col(group), F.col(id_col).alias("b"))
     return left.join(right, group).filter("a < b").select(group, "a", "b")

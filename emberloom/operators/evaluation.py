@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import scored
+
 
 def precision_at_k(near: DataFrame, labels: DataFrame, k: int = 5, id_col: str = "id", label_col: str = "label") -> DataFrame:
     """(query_id, precision) from neighbours (query_id, id): hits of the query's label over k,
@@ -69,25 +71,62 @@ def probe(df: DataFrame, vec_col: str, label: str, id_col: str = "id", most_fold
 
 def bootstrap_interval(values: DataFrame, value_col: str = "precision", id_col: str = "query_id", resamples: int = 1000, alpha: float = 0.025, seed: int = 42) -> DataFrame:
     """(mean, lo, hi, n): percentile interval of the mean. A resample gives each row a Poisson
-    weight from a hash of its id, the resample and the seed, so all resamples are one pass of
-    partial sums; lo and hi are the means of rank int(alpha * n) and int((1 - alpha) * n)."""
-    weights = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: _poisson1(F.pmod(F.xxhash64(F.col(id_col), r, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)))
-    rows = values.filter(F.col(value_col).isNotNull()).select(F.col(value_col).alias("v"), F.posexplode(weights).alias("r", "w"))
-    means = rows.groupBy("r").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    weight from a hash of its (integer) id, the resample and the seed, so all resamples are one
+    pass: a partition gives one partial sum for each. lo and hi are the means of rank
+    int(alpha * n) and int((1 - alpha) * n)."""
+    terms = np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)])
+    below, r = np.cumsum(terms), np.arange(resamples, dtype=np.int64)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vw, w = np.zeros(resamples), np.zeros(resamples)
+        for pdf in batches:
+            for a in range(0, len(pdf), 1024):
+                ids, v = pdf["id"].to_numpy(np.int64)[a : a + 1024], pdf["v"].to_numpy(float)[a : a + 1024]
+                own = np.searchsorted(below, _uniform(ids[:, None], r[None, :], seed), side="right")
+                vw += v @ own
+                w += own.sum(axis=0)
+        yield pd.DataFrame({"r": r, "vw": vw, "w": w})
+
+    rows = values.filter(F.col(value_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(value_col).cast("double").alias("v"))
+    means = rows.mapInPandas(sums, "r long, vw double, w double").groupBy("r").agg((F.sum("vw") / F.sum("w")).alias("m")).filter("m IS NOT NULL")
     ordered = means.agg(F.array_sort(F.collect_list("m")).alias("ms"))  # `resamples` numbers
-    at = lambda q: F.element_at("ms", F.lit(min(resamples, int(q * resamples) + 1)))
+    at = lambda q: F.try_element_at("ms", F.lit(min(resamples, int(q * resamples) + 1)))
     whole = values.agg(F.avg(value_col).alias("mean"), F.count(value_col).alias("n"))
     return whole.join(ordered, F.lit(True)).select("mean", at(alpha).alias("lo"), at(1 - alpha).alias("hi"), "n")
 
 
-def _poisson1(u: Column) -> Column:
-    """The inverse of a Poisson distribution of mean 1."""
-    out, p, total = F.lit(0), np.exp(-1.0), 0.0
-    for k in range(12):
-        total += p
-        out = F.when(u >= float(total), k + 1).otherwise(out)
-        p /= k + 1
-    return out
+def _uniform(ids: np.ndarray, r: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) by integer arithmetic that any engine has: multipliers of linear congruences, modulo 2 ** 31."""
+    m = 1 << 31
+    x = (ids % m * 1_000_003 + r * 8191 + seed * 131) % m
+    x = (x * 1_103_515_245 + 12_345) % m
+    x = x ^ (x >> 15)
+    x = (x * 69_069 + 1) % m
+    x = x ^ (x >> 13)
+    return (x * 1_664_525 + 1_013_904_223) % m / m
+
+
+def first_hit_ranks(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """(query_id, r): the rank, itself apart, of the first row of the query's label in a full
+    ranking; null if there is none. Two aggregations, no ranking: the best hit of each query,
+    then the rows above it."""
+    carry = {"own": F.col(label_col)}
+    hits = scored(corpus, queries, id_col, vec_col, carry, {"other": F.col(label_col)}).filter("query_id <> id")
+    best = hits.groupBy("query_id").agg(F.max(F.when(F.col("own") == F.col("other"), F.struct("score", (-F.col("id")).alias("late")))).alias("best"))
+    known = queries.join(best.select(F.col("query_id").alias(id_col), "best"), id_col)
+    above = scored(corpus, known, id_col, vec_col, {"best": F.col("best")}, {}).filter("query_id <> id")
+    above = above.groupBy("query_id").agg(F.count_if(F.struct("score", (-F.col("id")).alias("late")) > F.col("best")).alias("above"), F.first(F.col("best").isNotNull()).alias("found"))
+    return above.select("query_id", F.when(F.col("found"), F.col("above") + 1).alias("r"))
+
+
+def mean_reciprocal(ranks: DataFrame) -> DataFrame:
+    """(mrr, n) of first_hit_ranks; 0 where there is no hit."""
+    return ranks.agg(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))).alias("mrr"), F.count("*").alias("n"))
+
+
+def cross_probe(df: DataFrame, axes: list[str], labels: list[str], id_col: str = "id", **kw) -> list[dict]:
+    """probe() of every axis against every label, its own and the others': {axis, label, accuracy, ...}."""
+    return [{"axis": a, "label": x} | probe(df, a, x, id_col, **kw) for a in axes for x in labels]
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:

@@ -14,7 +14,7 @@ from ..functions import vectors as V
 
 BLOCK = 2048
 #: Queries of a full ranking, which returns all rows for each.
-MAX_RANKED = 1000
+QUERY_BLOCK = 1000
 
 
 def synthetic_projection(axes: int = 3, width: int = 8, dim: int = 64) -> list[list[float]]:
@@ -115,11 +115,35 @@ def neighbours(corpus: DataFrame, queries: DataFrame | None = None, k: int = 5,
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def scored(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, of_query: dict | None = None, of_row: dict | None = None) -> DataFrame:
+    """(query_id, id, score, extra columns) of all rows for all queries, themselves included. A block of
+    QUERY_BLOCK queries is broadcast; of more blocks each meets its own copy of the corpus' rows."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = queries.select(F.col(id_col).alias("query_id"), V.as_double(F.col(vec_col)).alias("qv"), *[c.alias(k) for k, c in (of_query or {}).items()]).withColumn("qn", V.norm(F.col("qv")))
+    c = corpus.select(F.col(id_col).alias("id"), V.as_double(F.col(vec_col)).alias("cv"), *[c.alias(k) for k, c in (of_row or {}).items()]).withColumn("cn", V.norm(F.col("cv")))
+    if n == 1:
+        both = c.join(F.broadcast(q), F.lit(True))
+    else:
+        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
+        both = c.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)))).join(q, "_block")
+    score = V.cosine(F.col("qv"), F.col("cv"), F.col("qn"), F.col("cn")).alias("score")
+    return both.select("query_id", "id", score, *(of_query or {}), *(of_row or {}))
+
+
 def full_ranking(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score) of all rows for a set of at most MAX_RANKED queries, themselves included."""
-    if queries.count() > MAX_RANKED:
-        raise ValueError(f"a full ranking takes {MAX_RANKED} queries at most; neighbours() takes any number")
-    q = queries.select(F.col(id_col).alias("query_id"), V.as_double(F.col(vec_col)).alias("qv")).withColumn("qn", V.norm(F.col("qv")))
-    c = corpus.select(F.col(id_col).alias("id"), V.as_double(F.col(vec_col)).alias("cv")).withColumn("cn", V.norm(F.col("cv")))
-    scored = c.join(F.broadcast(q), F.lit(True)).select("query_id", "id", V.cosine(F.col("qv"), F.col("cv"), F.col("qn"), F.col("cn")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    """(query_id, rank, id, score) of all rows for all queries, themselves included: as many rows as both sides multiplied."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored(corpus, queries, id_col, vec_col).withColumn("rank", rank)
+
+
+def examples(near: DataFrame, vectors: DataFrame, parts: dict[str, str], labels: DataFrame, label_cols: list[str], id_col: str = "id") -> DataFrame:
+    """near (query_id, rank, id, score) with the cosine of each part (name to vector column) and,
+    for each label, whether the two rows agree in it (null: no label)."""
+    cols = [c for c in dict.fromkeys(parts.values())]
+    a = vectors.select(F.col(id_col).alias("query_id"), *[V.as_double(F.col(c)).alias(f"_a_{c}") for c in cols])
+    b = vectors.select(F.col(id_col).alias("id"), *[V.as_double(F.col(c)).alias(f"_b_{c}") for c in cols])
+    x = labels.select(F.col(id_col).alias("query_id"), *[F.col(c).alias(f"_x_{c}") for c in label_cols])
+    y = labels.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"_y_{c}") for c in label_cols])
+    rows = near.join(a, "query_id").join(b, "id").join(x, "query_id").join(y, "id")
+    cos = lambda c: V.cosine(F.col(f"_a_{c}"), F.col(f"_b_{c}"), V.norm(F.col(f"_a_{c}")), V.norm(F.col(f"_b_{c}")))
+    return rows.select("query_id", "rank", "id", F.col("score").alias("combined"), *[cos(c).alias(name) for name, c in parts.items()], *[(F.col(f"_x_{c}") == F.col(f"_y_{c}")).alias(f"{c}_match") for c in label_cols])

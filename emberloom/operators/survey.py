@@ -62,6 +62,11 @@ def status(printed: Column, triggered: Column, named: Column) -> Column:
     return F.when(yes(printed), "printed").when(yes(triggered), "triggered").when(yes(named), "named").otherwise("waiting")
 
 
+def named(df: DataFrame, name_col: str) -> DataFrame:
+    """Rows that have been given a name."""
+    return df.filter(F.col(name_col).isNotNull())
+
+
 def pending_print(triggered: Column, printed: Column) -> Column:
     return F.coalesce(triggered, F.lit(False)) & ~F.coalesce(printed, F.lit(False))
 

@@ -12,8 +12,10 @@ def vocabulary(docs: DataFrame, id_col: str, tokens: Column, max_features: int =
     """(token, total, df): tokens in min_df documents or more and at most the share max_df, the
     most frequent max_features (ties by name)."""
     n = docs.count()
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(tokens).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    stats = rows.groupBy("token").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    # Occurrences and first occurrences side by side, so that what is shuffled is the vocabulary.
+    mark = lambda df: lambda x: F.struct(x.alias("token"), F.lit(1 - df).alias("tf"), F.lit(df).alias("df"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.explode(F.concat(F.transform(tokens, mark(0)), F.transform(F.array_distinct(tokens), mark(1)))).alias("x")).select("x.*")
+    stats = rows.groupBy("token").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
     return stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "token").limit(max_features)
 
 
@@ -23,7 +25,7 @@ def class_tfidf(docs: DataFrame, topic: str, tokens: Column, k: int = 10, vocab:
     rows = docs.select(F.col(topic).alias("topic"), F.explode(tokens).alias("token"))
     if vocab is not None:
         rows = rows.join(vocab.select("token"), "token", "left_semi")
-    counts = rows.groupBy("topic", "token").agg(F.count("*").alias("tf"))
+    counts = rows.groupBy("topic", "token").agg(F.count("*").alias("tf")).checkpoint()  # read three times, the texts once
     totals = counts.groupBy("topic").agg(F.sum("tf").alias("words"))
     mean = totals.agg(F.avg("words")).first()[0] or 0.0
     freq = counts.groupBy("token").agg(F.sum("tf").alias("f"))

@@ -8,6 +8,7 @@ change log.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import corpus, evaluation, names, ranking, search, serving, survey, topics, training
 from ..streaming import cdc, queue
+from .scratch import ensure_checkpoint_dir
 
 AXES = ["topic", "location", "phenomenon"]
 SUFFIXES = {"ring": "round", "bolt": "fastener", "widget": "device", "gear": "round"}
@@ -165,20 +167,21 @@ SELECT round(avg(coalesce(1::DOUBLE / r, 0)), 9) AS mrr, count(*) AS n FROM f"""
 def reciprocal_rank(spark, sf):
     e = _t(spark, sf, "embeddings")
     q = ranking.hash_sample(e.filter("label <> 0"), ["vec_id"], 100)
-    out = evaluation.mean_reciprocal_rank(search.full_ranking(e, q, "vec_id"), e.select(F.col("vec_id").alias("id"), "label"))
-    return out.withColumn("mrr", F.round("mrr", 9))
+    return evaluation.mean_reciprocal(evaluation.first_hit_ranks(e, q, "vec_id")).withColumn("mrr", F.round("mrr", 9))
 
 
 @query(f"""WITH {_PROJECTED}, q AS (SELECT * FROM a ORDER BY md5(vec_id || '|42'), vec_id LIMIT 5),
-x AS (SELECT q.vec_id AS query_id, c.vec_id AS id, (list_cosine_similarity(q.t, c.t) + list_cosine_similarity(q.l, c.l) + list_cosine_similarity(q.ph, c.ph)) / 3 AS s FROM q, a c WHERE q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS rank FROM x)
-SELECT r.query_id, r.rank, r.id, round(s, 6) AS combined, e.label = f.label AS cluster_match FROM r JOIN embeddings e ON e.vec_id = r.query_id JOIN embeddings f ON f.vec_id = r.id WHERE rank <= 5""")
+x AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(q.t, c.t) AS t, list_cosine_similarity(q.l, c.l) AS l, list_cosine_similarity(q.ph, c.ph) AS p FROM q, a c WHERE q.vec_id <> c.vec_id),
+r AS (SELECT *, (t + l + p) / 3 AS s, row_number() OVER (PARTITION BY query_id ORDER BY (t + l + p) / 3 DESC, id)::INT AS rank FROM x)
+SELECT r.query_id, r.rank, r.id, round(s, 6) AS combined, round(t, 6) AS topic, round(l, 6) AS location, round(p, 6) AS phenomenon, round(list_cosine_similarity(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), 6) AS original,
+e.label = f.label AS cluster_match, e.vec_id % 5 = f.vec_id % 5 AS region_match, e.vec_id % 7 = f.vec_id % 7 AS kind_match FROM r JOIN embeddings e ON e.vec_id = r.query_id JOIN embeddings f ON f.vec_id = r.id WHERE rank <= 5""")
 def aspect_examples(spark, sf):
     e = _t(spark, sf, "embeddings")
     p = search.project(e, search.synthetic_projection(), AXES).withColumn("all", F.concat(*AXES))
     near = search.neighbours(p, ranking.hash_sample(p, ["vec_id"], 5), 5, "vec_id", "all")
-    own, other = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), e.select(F.col("vec_id").alias("id"), F.col("label").alias("b"))
-    return near.join(own, "query_id").join(other, "id").select("query_id", "rank", "id", F.round("score", 6).alias("combined"), (F.col("a") == F.col("b")).alias("cluster_match"))
+    labels = e.select("vec_id", F.col("label").alias("cluster"), (F.col("vec_id") % 5).alias("region"), (F.col("vec_id") % 7).alias("kind"))
+    out = search.examples(near, p, {**{a: a for a in AXES}, "original": "embedding"}, labels, ["cluster", "region", "kind"], "vec_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("combined", *AXES, "original")})
 
 
 # ---------------------------------------------------------------- corpus
@@ -297,6 +300,30 @@ def cluster_flags(spark, sf):
     return corpus.usable_entries(d, have).select("id", "cluster_id", "has_embedding")
 
 
+@query("SELECT d.doc_id AS id, e.label AS cluster_id FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.label <> -1 AND d.doc_id IN (SELECT doc_id FROM labels)")
+def usable_only(spark, sf):
+    return corpus.only_usable(cluster_flags(spark, sf)).select("id", "cluster_id")
+
+
+@query("SELECT d.doc_id, d.lang, d.source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang IS NOT NULL AND d.source IS NOT NULL AND l.quality IS NOT NULL")
+def fully_labelled(spark, sf):
+    d = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id", "left")
+    return corpus.fully_labelled(d, ["lang", "source", "quality"]).select("doc_id", "lang", "source", "quality")
+
+
+@query(f"WITH {_CLEAN} SELECT e.id, e.name, m.label AS cluster_id FROM e JOIN embeddings m ON m.vec_id = substr(e.id, 7)::BIGINT WHERE m.label <> -1 AND length(e.summary) > 30")
+def describable_entries(spark, sf):
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("ordinal"), F.col("label").alias("cluster_id"))
+    entries = _entries(spark, sf).withColumn("ordinal", F.substring("id", 7, 20).cast("long")).join(e, "ordinal", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+    return corpus.describable(entries).select("id", "name", "cluster_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN o_orderpriority END AS name FROM orders WHERE o_totalprice > 200000 AND o_orderpriority IS NOT NULL")
+def named_rows(spark, sf):
+    rows = _t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 200000, F.col("o_orderpriority")).alias("name"))
+    return survey.named(rows, "name")
+
+
 @query("SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def labelled_join(spark, sf):
     d, e = _t(spark, sf, "documents"), _t(spark, sf, "embeddings")
@@ -630,6 +657,7 @@ def vocabulary(spark, sf):
 x AS (SELECT c.lang AS topic, c.token, (tf / words * ln(1 + (SELECT avg(words) FROM w) / f))::DOUBLE AS weight FROM c JOIN w USING (lang) JOIN f USING (token))
 SELECT topic, token, round(weight, 9) AS weight FROM x QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, token) <= 10""")
 def topic_words(spark, sf):
+    ensure_checkpoint_dir(spark)
     return topics.class_tfidf(_t(spark, sf, "documents"), "lang", T.tokens(F.col("text"))).select("topic", "token", F.round("weight", 9).alias("weight"))
 
 
@@ -660,12 +688,14 @@ def sparse_neighbours(spark, sf):
     return evaluation.sparse_neighbours(w).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COSINE}, near AS (SELECT query_id AS q, id, score AS s FROM r WHERE rank <= 10), e AS (SELECT a.q, a.id, a.s FROM near a JOIN near b ON a.q = b.id AND a.id = b.q),
+w(node, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT w.node, e.id FROM w JOIN e ON w.reach = e.q),
+l AS (SELECT node, min(reach) AS label FROM w GROUP BY node), z AS (SELECT label, count(*) AS size FROM l GROUP BY label), c AS (SELECT q, avg(s) AS conf FROM e GROUP BY q)
+SELECT node AS id, CASE WHEN size >= 5 THEN label ELSE -1 END AS cluster_id, CASE WHEN size >= 5 THEN round(conf, 6) END AS confidence FROM l JOIN z USING (label) LEFT JOIN c ON c.q = node""")
 def mutual_neighbour_clusters(spark, sf):
-    from ..plans.scratch import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
-    return topics.mutual_neighbour_clusters(_t(spark, sf, "embeddings"), "vec_id", "embedding", k=10)
+    out = topics.mutual_neighbour_clusters(_t(spark, sf, "embeddings"), "vec_id", "embedding", k=10)
+    return out.withColumn("confidence", F.round("confidence", 6))
 
 
 @query()
@@ -673,10 +703,21 @@ def principal_coordinates(spark, sf):
     return evaluation.pca_coordinates(_t(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
-@query()
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+@query(f"""WITH {_COSINE}, h AS (SELECT query_id, sum(CASE WHEN a.label = b.label AND b.label <> 0 THEN 1 ELSE 0 END) / 5::DOUBLE AS p
+FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE rank <= 5 AND a.label <> 0 GROUP BY query_id),
+x0 AS (SELECT p, r, (query_id % 2147483648 * 1000003 + r * 8191 + 42 * 131) % 2147483648 AS x FROM h, range(1000) t(r)),
+x1 AS (SELECT p, r, (x * 1103515245 + 12345) % 2147483648 AS x FROM x0), x2 AS (SELECT p, r, (xor(x, x >> 15) * 69069 + 1) % 2147483648 AS x FROM x1),
+x3 AS (SELECT p, r, (xor(x, x >> 13) * 1664525 + 1013904223) % 2147483648 / 2147483648::DOUBLE AS u FROM x2),
+x4 AS (SELECT p, r, len(list_filter({_POISSON!r}::DOUBLE[], lambda c: c <= u)) AS w FROM x3),
+m AS (SELECT r, sum(p * w) / sum(w) AS m FROM x4 GROUP BY r), o AS (SELECT list_sort(list(m)) AS ms FROM m)
+SELECT round((SELECT avg(p) FROM h), 9) AS mean, round(ms[26], 9) AS lo, round(ms[976], 9) AS hi, (SELECT count(*) FROM h) AS n FROM o""")
 def bootstrap_interval(spark, sf):
     near = search.neighbours(_t(spark, sf, "embeddings"), k=5, id_col="vec_id")
-    return evaluation.bootstrap_interval(evaluation.precision_at_k(near, _labels(spark, sf)))
+    out = evaluation.bootstrap_interval(evaluation.precision_at_k(near, _labels(spark, sf)))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "lo", "hi")})
 
 
 @query()

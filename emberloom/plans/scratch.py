@@ -1,4 +1,4 @@
-"""Where checkpoints go: the cluster's folder, or a private one where none is named."""
+"""Where checkpoints go: the cluster's folder, or a private one in a local session that names none."""
 
 import tempfile
 import uuid
@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="emberloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +73,13 @@ def event(op: str, key: Column, payload: Column, seq: Column) -> list[Column]:
 
 
 def insert(df: DataFrame, log: str, fields: list[str], id_col: str | None = None) -> DataFrame:
-    """Append rows to a change log, with new ids where there are none; returns the changes."""
+    """Append rows to a change log, with new ids where there are none; returns the changes as they are stored."""
     key = F.col(id_col) if id_col else F.expr("uuid()")
     payload = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.col(c).cast("string") for c in fields]))
     changes = df.select(*event("INSERT", key, payload, F.expr("unix_micros(current_timestamp())")))
+    staged = f"{log.rstrip('/')}.inserts/{uuid.uuid4().hex}"  # ids and times are drawn once
+    changes.write.parquet(staged)
+    changes = df.sparkSession.read.schema(changes.schema).parquet(staged)
     changes.write.mode("append").parquet(log)
     return changes
 

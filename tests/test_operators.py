@@ -198,3 +198,56 @@ def test_embedder_is_deterministic(spark):
     df = spark.createDataFrame([(1, "河童の話"), (2, "河童の話"), (3, None)], "id long, text string")
     got = embed(df, "text", hashing_embedder(16)).orderBy("id").collect()
     assert got[0].embedding == got[1].embedding and np.linalg.norm(got[0].embedding) == pytest.approx(1, abs=1e-6)
+
+
+def test_first_hit_ranks_agree_with_the_full_ranking_in_any_number_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).tolist(), int(rng.integers(0, 4)) if i % 9 else None) for i in range(60)] + [(60, [1.0] * 6, 77)]
+    e = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
+    q = e.filter("id % 4 = 0")
+    ranked = search.full_ranking(e, q).collect()
+    want = {}
+    label = {i: x for i, _, x in rows}
+    for own in {r.query_id for r in ranked}:
+        others = [r.id for r in sorted((r for r in ranked if r.query_id == own), key=lambda r: r["rank"]) if r.id != own]
+        want[own] = next((k for k, i in enumerate(others, 1) if label[i] is not None and label[i] == label[own]), None)
+    for block in (1000, 5):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        assert sorted(map(tuple, search.full_ranking(e, q).collect())) == sorted(map(tuple, ranked))
+        got = evaluation.first_hit_ranks(e, q)
+        assert {r.query_id: r.r for r in got.collect()} == want
+        labels = e.select("id", "label")
+        assert evaluation.mean_reciprocal(got).first().mrr == pytest.approx(evaluation.mean_reciprocal_rank(search.full_ranking(e, q), labels).first().mrr)
+
+
+def test_cross_probe_has_every_axis_and_label(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        a, b = i % 2, i // 2 % 2
+        rows.append((i, [a + 0.01 * rng.normal(), rng.normal()], [b + 0.01 * rng.normal(), rng.normal()], a, b))
+    df = spark.createDataFrame(rows, "id long, x array<double>, y array<double>, kind int, place int")
+    got = {(r["axis"], r["label"]): r["accuracy"] for r in evaluation.cross_probe(df, ["x", "y"], ["kind", "place"], most_folds=3)}
+    assert set(got) == {(a, b) for a in "xy" for b in ("kind", "place")}
+    assert got["x", "kind"] > 0.95 and got["y", "place"] > 0.95 and got["x", "place"] < 0.8 and got["y", "kind"] < 0.8
+
+
+def test_filters_drop_rows_without_their_values(spark):
+    df = spark.createDataFrame([(1, 0, True, "s" * 31, "a"), (2, -1, True, "s" * 40, None), (3, 2, False, "s" * 30, "b"), (4, 3, True, None, "")], "id long, cluster_id int, has_embedding boolean, summary string, name string")
+    ids = lambda d: sorted(r.id for r in d.collect())
+    assert ids(corpus.only_usable(df)) == [1, 4] and ids(corpus.describable(df)) == [1]
+    assert ids(survey.named(df, "name")) == [1, 3, 4] and ids(corpus.fully_labelled(df, ["summary", "name"])) == [1, 3]
+
+
+def test_inserted_rows_are_returned_as_stored(spark, tmp_path):
+    df = spark.createDataFrame([("x",), ("y",)], "v string")
+    got = writers.insert(df, f"{tmp_path}/log", ["v"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.read.parquet(f"{tmp_path}/log").collect()))
+
+
+def test_bootstrap_partitions_do_not_matter(spark):
+    df = spark.range(500).selectExpr("id AS query_id", "id % 7 / 7 AS precision")
+    one, many = (evaluation.bootstrap_interval(df.repartition(n)).first() for n in (1, 6))
+    assert [one.lo, one.hi, one.n] == pytest.approx([many.lo, many.hi, many.n]) and one.lo < one.mean < one.hi
+    none = evaluation.bootstrap_interval(df.limit(0)).first()
+    assert none.n == 0 and none.lo is None
