@@ -166,12 +166,24 @@ def signature(answers: Column, joiner: str = "|") -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(answers)), lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(e["value"], F.lit("")))), joiner)
 
 
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+
+
+def _first_unit(c: Column) -> Column:
+    """The first UTF-16 unit of a character: beyond U+FFFF its high surrogate."""
+    n = F.ascii(c)
+    return F.when(n > 0xFFFF, F.shiftright(n - 0x10000, 10) + 0xD800).otherwise(n)
+
+
 def rolling_hash(text: Column, modulus: int = 9973) -> Column:
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda a, c: (a + F.ascii(c)) % modulus)
+    return F.aggregate(_characters(text), F.lit(0), lambda a, c: (a + _first_unit(c)) % modulus)
 
 
 def client_seed(text: Column, i: Column, modulus: int = 997) -> Column:
-    total = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
+    """Over all UTF-16 units, two of a character beyond U+FFFF."""
+    second = lambda c: F.when(F.ascii(c) > 0xFFFF, F.ascii(c) % 0x400 + 0xDC00).otherwise(0)
+    total = F.aggregate(_characters(text), F.lit(0).cast("long"), lambda a, c: a + _first_unit(c) + second(c))
     return (F.abs(total) + i) % modulus
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import top_per_group
 from .search import neighbours
 
 
@@ -35,10 +36,12 @@ def class_tfidf(docs: DataFrame, topic: str, tokens: Column, k: int = 10, vocab:
 
 
 def cluster_members(df: DataFrame, cluster: str, name: str, ordinal: str, first: int = 5) -> DataFrame:
-    """(cluster, size, representatives, members hash): members in ordinal order, the first few by name."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(name).alias("name"))))
-    out = df.groupBy(cluster).agg(F.count("*").alias("size"), listed.alias("m"))
-    return out.select(cluster, "size", F.transform(F.slice("m", 1, first), lambda x: x["name"]).alias("representatives"), F.transform("m", lambda x: x["name"]).alias("members"))
+    """(cluster, size, representatives): the first few members in ordinal order. The member list
+    in long form is df itself, in the order of (cluster, ordinal)."""
+    heads = top_per_group(df.select(cluster, name, ordinal), cluster, [ordinal], first)
+    heads = heads.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(name).alias("name")))).alias("m"))
+    sizes = df.groupBy(cluster).agg(F.count("*").alias("size"))
+    return sizes.join(heads, sizes[cluster].eqNullSafe(heads[cluster])).select(sizes[cluster], "size", F.transform("m", lambda x: x["name"]).alias("representatives"))
 
 
 def centroids(df: DataFrame, cluster: str, vec_col: str) -> DataFrame:

@@ -267,15 +267,21 @@ def classify_phenomena(spark, sf):
 
 # ---------------------------------------------------------------- pairs
 
-_PAIRS = "x AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.label <> 0)"
+# The twin numbers all pairs, which draw_pairs() never forms.
+_PAIRS = """n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '|42'), vec_id) - 1 AS at FROM embeddings WHERE label <> 0),
+g AS (SELECT label, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM n GROUP BY label), s AS (SELECT label, pairs, (sum(pairs) OVER (ORDER BY label) - pairs)::BIGINT AS low FROM g),
+p AS (SELECT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, low + b.at * (b.at - 1) // 2 + a.at AS pos FROM n a JOIN n b ON a.label = b.label AND a.at < b.at JOIN s ON s.label = a.label),
+c AS (SELECT sum(pairs)::BIGINT AS total, least(5000, sum(pairs))::BIGINT AS cap FROM g),
+d AS (SELECT (t * total) // cap AS lo, ((t + 1) * total) // cap AS hi, ('0x' || substr(md5(t || '|42'), 1, 15))::BIGINT AS h FROM c, range(5000) r(t) WHERE t < cap),
+y AS (SELECT p.a, p.b FROM d JOIN p ON p.pos = lo + h % (hi - lo))"""
 
 
 def _topic_pairs(spark, sf):
     e = _t(spark, sf, "embeddings").filter("label <> 0").select(F.col("vec_id").alias("id"), "label")
-    return corpus.sample_pairs(corpus.group_pairs(e, "label"), "topic")
+    return corpus.draw_pairs(e, "label", "topic")
 
 
-@query(f"WITH {_PAIRS} SELECT 'topic' AS axis, a, b FROM x ORDER BY md5(a || '|' || b || '|42'), a, b LIMIT 5000")
+@query(f"WITH {_PAIRS} SELECT 'topic' AS axis, a, b FROM y")
 def topic_pairs(spark, sf):
     return _topic_pairs(spark, sf)
 
@@ -287,7 +293,7 @@ def region_pairs(spark, sf):
     return corpus.group_pairs(s, "region").groupBy("region").agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("ids"))
 
 
-@query(f"WITH {_PAIRS}, y AS (SELECT a, b FROM x ORDER BY md5(a || '|' || b || '|42'), a, b LIMIT 5000) SELECT 'topic' AS axis, a, b FROM y WHERE a IN (SELECT doc_id FROM labels) AND b IN (SELECT doc_id FROM labels)")
+@query(f"WITH {_PAIRS} SELECT 'topic' AS axis, a, b FROM y WHERE a IN (SELECT doc_id FROM labels) AND b IN (SELECT doc_id FROM labels)")
 def pairs_with_embeddings(spark, sf):
     have = _t(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     return corpus.pairs_with_embeddings(_topic_pairs(spark, sf), have)
@@ -332,8 +338,8 @@ def labelled_join(spark, sf):
 
 @query("SELECT label AS key, array_to_string(list_sort(list(vec_id))[1:5], ',') AS first_ids, count(*) AS n FROM embeddings GROUP BY label")
 def cluster_index(spark, sf):
-    index = corpus.inverted_index(_t(spark, sf, "embeddings"), "label", "vec_id")
-    return index.select("key", F.array_join(F.slice("ids", 1, 5), ",").alias("first_ids"), F.size("ids").cast("long").alias("n"))
+    index = corpus.index_heads(corpus.index_rows(_t(spark, sf, "embeddings"), "label", "vec_id"))
+    return index.select("key", F.array_join("first_ids", ",").alias("first_ids"), "n")
 
 
 @query("SELECT count(DISTINCT e.label) AS clusters, count(DISTINCT d.lang) AS regions, count(DISTINCT d.source) AS types FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
@@ -731,7 +737,7 @@ def _training_data(spark, sf):
     pairs = _topic_pairs(spark, sf)
     for axis, groups in (("location", 20), ("phenomenon", 13)):
         g = e.select("id", (F.col("id") % groups).alias("g"))
-        pairs = pairs.unionByName(corpus.sample_pairs(corpus.group_pairs(g, "g"), axis))
+        pairs = pairs.unionByName(corpus.draw_pairs(g, "g", axis))
     data = training.collect_pairs(pairs, e)
     return {k: data[k] for k in AXES if k in data}
 

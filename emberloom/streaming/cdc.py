@@ -23,49 +23,52 @@ from pyspark.sql.streaming import StreamingQuery
 LOG = "op string, id string, seq long, payload map<string,string>"
 
 
-def _folded(log: DataFrame) -> DataFrame:
-    """(id, events): changes of each id in order; changes of one id are few."""
-    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
-    return log.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "payload")), by_seq).alias("events"))
+def _at() -> Column:
+    """A change's place in the log; of one seq, a DELETE is before an INSERT and that before an UPDATE."""
+    return F.struct("seq", "op")
 
 
-def _merge(a: Column, b: Column) -> Column:
-    """b's fields over a's."""
-    b = F.coalesce(b, F.create_map().cast("map<string,string>"))
-    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+def _same_id(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Joined by id, a null id being one."""
+    return left.join(right.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), how).drop("_id")
 
 
-def list_view(log: DataFrame, latest: int | None = 200) -> DataFrame:
-    """(id, created_seq, payload), newest INSERT first, at most `latest` rows."""
+def _payloads(log: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, payload): the last value of each field of an id that was set at or after `start`
+    (null: ever). Fields are aggregated one by one, so that an id of many changes is no row."""
+    rows = log.filter("op <> 'DELETE'").select("id", _at().alias("at"), F.explode("payload").alias("field", "value"))
+    last = rows.groupBy("id", "field").agg(F.max(F.struct("at", "value")).alias("last"))
+    kept = _same_id(last, starts.select("id", "start"), "inner").filter(F.col("start").isNull() | (F.col("last.at") >= F.col("start")))
+    return kept.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "last.value")))).alias("payload"))
+
+
+def _with_payload(rows: DataFrame, payloads: DataFrame) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
-    start = F.struct(F.lit(None).cast("long").alias("created"), empty.alias("payload"))
+    return _same_id(rows, payloads, "left").withColumn("payload", F.coalesce("payload", empty))
 
-    def step(s, e):
-        new = F.struct(e["seq"].alias("created"), _merge(F.create_map().cast("map<string,string>"), e["payload"]).alias("payload"))
-        gone = F.struct(F.lit(None).cast("long").alias("created"), F.create_map().cast("map<string,string>").alias("payload"))
-        changed = F.struct(s["created"].alias("created"), _merge(s["payload"], e["payload"]).alias("payload"))
-        return F.when(e["op"] == "INSERT", new).when(e["op"] == "DELETE", gone).when(s["created"].isNull(), s).otherwise(changed)
 
-    rows = _folded(log).select("id", F.aggregate("events", start, step).alias("s")).filter("s.created IS NOT NULL")
-    out = rows.select("id", F.col("s.created").alias("created_seq"), F.col("s.payload").alias("payload")).orderBy(F.desc("created_seq"), "id")
-    return out if latest is None else out.limit(latest)
+def list_view(log: DataFrame, latest: int | None = 200) -> DataFrame:
+    """(id, created_seq, payload), newest INSERT first, at most `latest` rows.
+
+    The last INSERT or DELETE of an id says whether it is there; only the rows that are listed
+    have their fields merged."""
+    starts = log.filter(F.col("op").isin("INSERT", "DELETE")).groupBy("id").agg(F.max(_at()).alias("start")).filter("start.op = 'INSERT'")
+    rows = starts.select("id", F.col("start.seq").alias("created_seq"), "start")
+    if latest is not None:
+        rows = rows.orderBy(F.desc("created_seq"), "id").limit(latest)
+    changes = _same_id(log, rows.select("id"), "left_semi") if latest is not None else log
+    return _with_payload(rows, _payloads(changes, rows)).select("id", "created_seq", "payload").orderBy(F.desc("created_seq"), "id")
 
 
 def gallery_view(log: DataFrame, name: str = "name") -> DataFrame:
     """(id, shown_seq, payload) of the rows that have had a name since their last DELETE."""
-    empty = F.create_map().cast("map<string,string>")
-    start = F.struct(F.lit(None).cast("long").alias("shown"), empty.alias("payload"))
-
-    def step(s, e):
-        named = F.coalesce(F.try_element_at(F.coalesce(e["payload"], F.create_map().cast("map<string,string>")), F.lit(name)), F.lit("")) != ""
-        base = F.when(e["op"] == "INSERT", F.create_map().cast("map<string,string>")).otherwise(s["payload"])
-        shown = F.when(s["shown"].isNotNull(), s["shown"]).when(named, e["seq"])
-        changed = F.struct(shown.alias("shown"), _merge(base, e["payload"]).alias("payload"))
-        gone = F.struct(F.lit(None).cast("long").alias("shown"), F.create_map().cast("map<string,string>").alias("payload"))
-        return F.when(e["op"] == "DELETE", gone).otherwise(changed)
-
-    rows = _folded(log).select("id", F.aggregate("events", start, step).alias("s")).filter("s.shown IS NOT NULL")
-    return rows.select("id", F.col("s.shown").alias("shown_seq"), F.col("s.payload").alias("payload"))
+    ended = F.max(F.when(F.col("op") == "DELETE", _at())).alias("gone")
+    marks = log.filter(F.col("op").isin("INSERT", "DELETE")).groupBy("id").agg(ended, F.max(_at()).alias("start"))
+    named = log.filter(F.col("op") != "DELETE").filter(F.coalesce(F.try_element_at("payload", F.lit(name)), F.lit("")) != "").select("id", "seq", _at().alias("at"))
+    shown = _same_id(named, marks.select("id", "gone"), "left").filter(F.col("gone").isNull() | (F.col("at") > F.col("gone")))
+    shown = shown.groupBy("id").agg(F.min("seq").alias("shown_seq"))
+    starts = _same_id(shown.select("id"), marks.select("id", "start"), "left")
+    return _with_payload(shown, _payloads(log, starts)).select("id", "shown_seq", "payload")
 
 
 def latest_state(log: DataFrame) -> DataFrame:

@@ -54,6 +54,26 @@ def test_pairs_sharing_two_regions_come_twice(spark):
     assert sorted((r.a, r.b) for r in corpus.group_pairs(df, "g").collect()) == [(1, 2), (1, 2), (1, 3), (2, 3)]
 
 
+def test_drawn_pairs(spark):
+    rows = [(f"{g}{i:03}", g) for g, n in (("x", 40), ("y", 3), ("z", 1), ("w", 25)) for i in range(n)] + [("n", None), (None, "x")]
+    df = spark.createDataFrame(rows, "id string, g string")
+    every = {(r.a, r.b) for r in corpus.group_pairs(df.dropna(), "g").collect()}
+    assert len(every) == 780 + 3 + 300
+    for cap in (1, 7, 500, 1082, 1083, 5000):
+        got = [(r.a, r.b) for r in corpus.draw_pairs(df, "g", "t", cap).collect()]
+        assert len(got) == len(set(got)) == min(cap, len(every)) and set(got) <= every
+    other = {(r.a, r.b) for r in corpus.draw_pairs(df, "g", "t", 500, seed=7).collect()}
+    assert other != {(r.a, r.b) for r in corpus.draw_pairs(df, "g", "t", 500).collect()}
+    assert corpus.draw_pairs(df.limit(0), "g", "t").count() == 0
+
+
+def test_index_of_any_size(spark):
+    df = spark.createDataFrame([(3, ["a", "b"]), (1, ["a"]), (2, ["a", "a"]), (4, None)], "id long, g array<string>")
+    rows = corpus.index_rows(df, "g", multi=True)
+    assert {r.key: (r.first_ids, r.n) for r in corpus.index_heads(rows, 2).collect()} == {"a": ([1, 2], 3), "b": ([3], 1)}
+    assert {r.key: r.ids for r in corpus.inverted_index(df, "g", multi=True).collect()} == {"a": [1, 2, 3], "b": [3]}
+
+
 def test_circular_slice_of_few_rows(spark):
     df = spark.range(3).select(F.col("id").alias("o"))
     got = ranking.circular_slice(df, "o", 3, F.lit(5)).orderBy("position").collect()

@@ -78,3 +78,32 @@ def test_retries_then_dropped(spark):
 def test_refetch(spark):
     store = spark.createDataFrame([("a", "full"), ("b", "row")], "id string, big string")
     assert [tuple(r) for r in cdc.refetch(log(spark).filter("id = 'a'"), store).collect()] == [("a", "full")]
+
+
+def test_views_equal_a_fold_in_order(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, seqs = [], list(range(120))
+    rng.shuffle(seqs)
+    for seq in seqs:
+        op = rng.choice(["INSERT", "UPDATE", "UPDATE", "UPDATE", "DELETE"])
+        payload = {k: rng.choice(["", "x", None, "y"]) for k in rng.sample(["name", "p", "q"], rng.randint(0, 3))}
+        rows.append((op, rng.choice([None, "a", "b", "c", "d", "e"]), seq, None if op == "DELETE" or rng.random() < 0.1 else payload))
+    listed, shown = {}, {}
+    for op, key, seq, payload in sorted(rows, key=lambda r: r[2]):
+        payload = payload or {}
+        if op == "DELETE":
+            listed.pop(key, None)
+            shown[key] = (None, {})
+            continue
+        if op == "INSERT":
+            listed[key] = (seq, dict(payload))
+        elif key in listed:
+            listed[key][1].update(payload)
+        since, fields = shown.get(key, (None, {}))
+        since = seq if since is None and payload.get("name") else since
+        shown[key] = (since, dict(payload) if op == "INSERT" else fields | payload)
+    df = spark.createDataFrame(rows, cdc.LOG)
+    assert {r.id: (r.created_seq, r.payload) for r in cdc.list_view(df, None).collect()} == listed
+    assert {r.id: (r.shown_seq, r.payload) for r in cdc.gallery_view(df).collect()} == {k: v for k, v in shown.items() if v[0] is not None}

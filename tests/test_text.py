@@ -74,6 +74,9 @@ def test_signature_and_seeds(spark):
     assert one(spark, T.signature, a={"b": "2", "a": "1"}) == "a:1|b:2"
     assert one(spark, T.rolling_hash, a="あa") == (12354 + 97) % 9973
     assert one(spark, lambda a: T.client_seed(a, F.lit(3)), a="ab") == (97 + 98 + 3) % 997
+    # beyond U+FFFF: a high surrogate, and both surrogates
+    assert one(spark, T.rolling_hash, a="a😀") == (97 + 0xD83D) % 9973
+    assert one(spark, lambda a: T.client_seed(a, F.lit(0)), a="😀\n") == (0xD83D + 0xDE00 + 10) % 997
 
 
 def test_parse_reply(spark):
