@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.readers import exists
 
 
 def decompose(df: DataFrame, name_col: str = "name", suffixes: dict[str, str] | None = None, prefixes: dict[str, str] | None = None) -> DataFrame:
@@ -95,3 +99,33 @@ def tier_counts(scores: DataFrame, col: str = "score") -> DataFrame:
 def lookup_misses(names: DataFrame, cache: DataFrame, key: str = "search_name") -> DataFrame:
     """The distinct names that the cache does not hold, cached errors counting as held."""
     return names.select(key).distinct().join(cache.select(key), key, "left_anti")
+
+
+def cached_lookups(names: DataFrame, path: str, fetch: Callable[[str], tuple[int, int]], key: str = "search_name", flush_every: int = 10) -> DataFrame:
+    """(search_name, records, variants, error) of every distinct name, from a cache table at path
+    and, for names it does not hold, from fetch(name) -> (records, variants). An error is cached
+    like a result, so a name is asked for once. Every `flush_every` names are one append to the
+    cache: an interrupted run goes on from the last. Null names are not looked up."""
+    spark = names.sparkSession
+    schema = "search_name string, records long, variants long, error string"
+    held = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    wanted = names.select(F.col(key).alias("search_name")).filter("search_name IS NOT NULL").distinct()
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name in pdf["search_name"]:
+                try:
+                    records, variants = fetch(name)
+                    rows.append((name, int(records), int(variants), None))
+                except Exception as e:
+                    rows.append((name, 0, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["search_name", "records", "variants", "error"])
+
+    misses = lookup_misses(wanted, held, "search_name")
+    parts = -(-misses.count() // flush_every)
+    for part in range(parts):
+        own = misses if parts == 1 else misses.filter(F.pmod(F.xxhash64("search_name"), F.lit(parts)) == part)
+        own.mapInPandas(ask, schema).write.mode("append").parquet(path)
+    now = spark.read.schema(schema).parquet(path) if parts else held
+    return wanted.join(now, "search_name")

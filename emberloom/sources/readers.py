@@ -49,6 +49,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+
+
 def first_of(spark: SparkSession, candidates: Sequence[tuple[str, Callable[[str], DataFrame]]], schema: T.StructType, log: Callable[[str], None] = lambda text: None) -> DataFrame:
     """The first candidate (path, reader) that exists and can be read; else an empty table."""
     for path, read in candidates:
@@ -64,8 +70,19 @@ def first_of(spark: SparkSession, candidates: Sequence[tuple[str, Callable[[str]
     return spark.createDataFrame([], schema)
 
 
+def stage_file(spark: SparkSession, url: str, path: str, timeout: float = 60.0) -> str:
+    """Fetch a file once, on the driver, to a path that executors can read; the path."""
+    from urllib.request import urlopen
+
+    from .writers import put_bytes
+
+    with urlopen(url, timeout=timeout) as reply:
+        put_bytes(spark, path, reply.read())
+    return path
+
+
 def stage_json(spark: SparkSession, url: str, path: str, timeout: float = 60.0) -> str:
-    """Fetch a JSON document once, on the driver, to a path that executors can read; the path."""
+    """stage_file() of a JSON document."""
     import json
     from urllib.request import urlopen
 
@@ -78,6 +95,68 @@ def stage_json(spark: SparkSession, url: str, path: str, timeout: float = 60.0)
     return path
 
 
+def _tiers(spark: SparkSession, local: Sequence[tuple], remote: Sequence[tuple], staging: str | None, log: Callable[[str], None]):
+    """What the first tier that can be read gives, else None. A tier is a reader and its files:
+    paths of the local ones, URLs (staged when their turn comes) or paths of the remote ones."""
+    for read, *files in [*local, *remote]:
+        try:
+            if any(f is None for f in files):
+                continue
+            missing = [f for f in files if "://" not in f and not exists(spark, f)]
+            if missing:
+                log(f"{missing[0]}: not there")
+                continue
+            here = [stage_file(spark, f, f"{staging}/{f.rsplit('/', 1)[-1]}") if f.startswith(("http://", "https://")) else f for f in files]
+            return read(*here)
+        except Exception as e:  # the next tier is tried
+            log(f"{files[0]}: {e}")
+    return None
+
+
+def json_matrix(spark: SparkSession, path: str) -> tuple[np.ndarray, int, int]:
+    """(matrix, rows of an axis, axes) of a JSON document {matrix, subspaceDim, axes}."""
+    import json
+
+    doc = json.loads(_bytes(spark, path))
+    return np.asarray(doc["matrix"], "<f4"), int(doc["subspaceDim"]), len(doc["axes"])
+
+
+def matrix_of_tiers(spark: SparkSession, binary: str | None = None, document: str | None = None, remote_binary: str | None = None, remote_document: str | None = None, staging: str | None = None, log: Callable[[str], None] = lambda text: None) -> tuple[np.ndarray, int, int] | None:
+    """The projection matrix from the first of: binary file, JSON document, the same two remotely.
+    A tier that is missing or damaged is logged and passed over; None if none can be read."""
+    b, j = (lambda p: binary_matrix(spark, p)), (lambda p: json_matrix(spark, p))
+    return _tiers(spark, [(b, binary), (j, document)], [(b, remote_binary), (j, remote_document)], staging, log)
+
+
+META = T.StructType([*RAW_ENTRY.fields, T.StructField("ordinal", T.LongType())])
+
+
+def projected_of_tiers(spark: SparkSession, axes: Sequence[str], binary: tuple[str, str] | None = None, document: str | None = None, remote_binary: tuple[str, str] | None = None, remote_document: str | None = None, staging: str | None = None, log: Callable[[str], None] = lambda text: None) -> DataFrame | None:
+    """Entries with a vector for each axis from the first of: vectors file and its meta document
+    {subspaceDim, entries}, one document {entries} with the axes as fields, the same two
+    remotely. Rows of the two files belong together by position; missing texts become empty."""
+    texts = [f.name for f in RAW_ENTRY.fields]
+
+    def both(vectors: str, meta: str) -> DataFrame:
+        root = T.StructType([T.StructField("subspaceDim", T.IntegerType()), T.StructField("entries", T.ArrayType(RAW_ENTRY))])
+        doc = spark.read.schema(root).json(meta, multiLine=True)
+        width = (doc.select("subspaceDim").first()[0] or 0) or 128
+        rows = doc.select(F.posexplode("entries").alias("ordinal", "e")).select(F.col("ordinal").cast("long").alias("ordinal"), "e.*")
+        out = projected_entries(binary_vectors(spark, vectors), rows, axes, width)
+        if out.count() != rows.count():
+            raise ValueError("the meta document has more entries than there are vectors")
+        return out.select(*texts, *axes)
+
+    def one(path: str) -> DataFrame:
+        schema = T.StructType([*RAW_ENTRY.fields, *(T.StructField(a, T.ArrayType(T.FloatType())) for a in axes)])
+        out = json_entries(spark, path, schema).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in texts], *axes)
+        if not out.limit(1).count():
+            raise ValueError("no entries")
+        return out
+
+    return _tiers(spark, [(both, *(binary or (None,))), (one, document)], [(both, *(remote_binary or (None,))), (one, remote_document)], staging, log)
+
+
 def decode_matrix(data: bytes) -> tuple[np.ndarray, int, int]:
     """(matrix, rows of an axis, axes) of a header [rows, columns, axis rows, axes] and
     little-endian float32 values by rows; 128 where the header says 0 rows of an axis."""

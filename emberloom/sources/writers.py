@@ -54,6 +54,11 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs.rename(temp, final)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def upload(spark: SparkSession, sources: dict[str, str], root: str) -> dict[str, str]:
     """Copy artefacts {name: path} under root; missing ones are skipped. {name: new path}."""
     hadoop = spark._jvm.org.apache.hadoop.fs

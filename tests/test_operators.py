@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberloom.functions import vectors as V
-from emberloom.operators import corpus, evaluation, ranking, search, serving, survey, training
+from emberloom.operators import corpus, evaluation, names, ranking, search, serving, survey, training
 from emberloom.operators.embedders import embed, hashing_embedder
 from emberloom.sources import readers, writers
 
@@ -271,3 +271,51 @@ def test_bootstrap_partitions_do_not_matter(spark):
     assert [one.lo, one.hi, one.n] == pytest.approx([many.lo, many.hi, many.n]) and one.lo < one.mean < one.hi
     none = evaluation.bootstrap_interval(df.limit(0)).first()
     assert none.n == 0 and none.lo is None
+
+
+def test_lookups_are_cached_with_their_errors(spark, tmp_path):
+    path, asked = str(tmp_path / "cache"), str(tmp_path / "asked")
+
+    def fetch(name):
+        with open(asked, "a") as f:
+            f.write(name + "\n")
+        if name == "bad":
+            raise ValueError("no")
+        return len(name), 1
+
+    first = spark.createDataFrame([("aa",), ("bad",), ("aa",), (None,), *[(f"n{i}",) for i in range(10)]], "search_name string")
+    got = {r.search_name: (r.records, r.error) for r in names.cached_lookups(first, path, fetch, flush_every=4).collect()}
+    assert len(got) == 12 and got["aa"] == (2, None) and got["bad"] == (0, "ValueError: no")
+    again = names.cached_lookups(spark.createDataFrame([("bad",), ("new",)], "search_name string"), path, fetch).collect()
+    assert sorted(r.search_name for r in again) == ["bad", "new"]
+    assert sorted(open(asked).read().split()) == sorted(["aa", "bad", "new", *[f"n{i}" for i in range(10)]])
+    assert names.cached_lookups(first.limit(0), path, fetch).count() == 0
+
+
+def test_load_tiers(spark, tmp_path):
+    import json
+
+    m = np.arange(8.0).reshape(4, 2)
+    paths = {k: str(tmp_path / k) for k in ("m.bin", "m.json", "v.bin", "meta.json", "p.json")}
+    said = []
+    assert readers.matrix_of_tiers(spark, paths["m.bin"], paths["m.json"], log=said.append) is None and len(said) == 2
+    writers.put_bytes(spark, paths["m.json"], json.dumps({"matrix": m.tolist(), "subspaceDim": 2, "axes": ["a", "b"]}).encode())
+    writers.put_bytes(spark, paths["m.bin"], b"xx")  # damaged
+    got, width, axes = readers.matrix_of_tiers(spark, paths["m.bin"], paths["m.json"], log=said.append)
+    assert got.tolist() == m.tolist() and (width, axes) == (2, 2) and len(said) == 3
+    remote = (tmp_path / "m.json").as_uri()
+    assert readers.matrix_of_tiers(spark, remote_document=remote)[0].tolist() == m.tolist()
+
+    entries = [{"id": str(i), "name": f"n{i}"} for i in range(3)]
+    vectors = np.arange(12.0).reshape(3, 4)
+    document = {"entries": [e | {"a": v[:2].tolist(), "b": v[2:].tolist()} for e, v in zip(entries, vectors)]}
+    writers.put_bytes(spark, paths["p.json"], json.dumps(document).encode())
+    writers.put_bytes(spark, paths["meta.json"], json.dumps({"subspaceDim": 2, "entries": entries}).encode())
+    load = lambda: readers.projected_of_tiers(spark, ["a", "b"], (paths["v.bin"], paths["meta.json"]), paths["p.json"], log=said.append)
+    want = [(str(i), f"n{i}", "", v[:2].tolist(), v[2:].tolist()) for i, v in enumerate(vectors)]
+    for data in (None, writers.encode_vectors(vectors[:2]), writers.encode_vectors(vectors)):
+        if data:
+            writers.put_bytes(spark, paths["v.bin"], data)
+        assert sorted((r.id, r.name, r.summary, r.a, r.b) for r in load().collect()) == want
+    assert len(said) == 5  # no vectors, too few
+    assert readers.projected_of_tiers(spark, ["a"]) is None

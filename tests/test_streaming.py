@@ -107,3 +107,17 @@ def test_views_equal_a_fold_in_order(spark):
     df = spark.createDataFrame(rows, cdc.LOG)
     assert {r.id: (r.created_seq, r.payload) for r in cdc.list_view(df, None).collect()} == listed
     assert {r.id: (r.shown_seq, r.payload) for r in cdc.gallery_view(df).collect()} == {k: v for k, v in shown.items() if v[0] is not None}
+
+
+def test_retry_queue_survives_and_discards(spark, tmp_path):
+    q = queue.RetryQueue(spark, str(tmp_path / "q"))
+    q.drain(lambda df: df.withColumn("ok", F.lit(True)))  # nothing waits
+    q.enqueue(spark.createDataFrame([("a", "1"), ("b", "2")], "id string, job string"))
+    q = queue.RetryQueue(spark, str(tmp_path / "q"))  # a consumer that starts again
+    only_a = lambda df: df.withColumn("ok", F.when(F.col("id") == "a", True))
+    kept = []
+    for _ in range(5):
+        q.drain(only_a)
+        kept.append([(r.id, r.retries) for r in q.waiting().collect()])
+    assert kept == [[("b", 1)], [("b", 2)], [("b", 3)], [], []]
+    assert [tuple(r) for r in q.discarded().collect()] == [("b", "2", 3)]
