@@ -158,12 +158,49 @@ def tfidf(docs: DataFrame, id_col: str, grams: Column, max_features: int = 10_00
     return w.join(norms, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
+#: Rows of a block of sparse vectors.
+SPARSE_BLOCK = 1024
+
+
 def sparse_neighbours(weights: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, id, score): cosine by products of shared grams, itself excluded."""
-    q = weights.select(F.col("id").alias("query_id"), "gram", F.col("w").alias("qw"))
-    scores = q.join(weights, "gram").filter("query_id <> id").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", n).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    """(query_id, rank, id, score): cosine by products of shared grams, itself excluded, to nine
+    decimals; ties by id. Rows that share no gram are no neighbours.
+
+    Blocks of rows meet each other, as in search.neighbours(): no pair becomes a row and a
+    frequent gram is no join key. Exact, and so quadratic in the rows."""
+    kind = weights.schema["id"].dataType.simpleString()
+    rows = weights.groupBy("id").agg(F.collect_list(F.struct("gram", "w")).alias("x"))
+    n = max(1, -(-weights.select("id").distinct().count() // SPARSE_BLOCK))
+
+    def side(own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(n))
+        each = rows.select(F.col("id").alias("id"), F.col("x.gram").alias("gram"), F.col("x.w").alias("w"))
+        return each.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+    def multiply(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(c):
+            c = c.sort_values("id", ignore_index=True)
+            known = {g: i for i, g in enumerate(dict.fromkeys(g for row in q["gram"] for g in row))}
+            dense = np.zeros((len(known), len(q)))  # a gram's weights in all queries, side by side
+            for i, (grams, w) in enumerate(zip(q["gram"], q["w"], strict=True)):
+                dense[[known[g] for g in grams], i] = w
+            scores = np.zeros((len(c), len(q)))
+            for j, (grams, w) in enumerate(zip(c["gram"], c["w"], strict=True)):
+                shared = [(known[g], x) for g, x in zip(grams, w, strict=True) if g in known]
+                if shared:
+                    at, x = zip(*shared, strict=True)
+                    scores[j] = np.asarray(x) @ dense[list(at)]
+            scores, ids = np.round(scores, 9), c["id"].tolist()
+            for i, own in enumerate(q["id"].tolist()):
+                column = scores[:, i]
+                best = np.argsort(-column, kind="stable")[: k + 1]
+                out += [(own, ids[j], float(column[j])) for j in best if column[j] > 0 and ids[j] != own][:k]
+        return pd.DataFrame(out, columns=["query_id", "id", "score"]) if out else pd.DataFrame({"query_id": q["id"][:0], "id": q["id"][:0], "score": np.zeros(0)})
+
+    best = side("qb", "cb").groupBy("qb", "cb").cogroup(side("cb", "qb").groupBy("qb", "cb")).applyInPandas(multiply, f"query_id {kind}, id {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def pca_coordinates(df: DataFrame, id_col: str, vec_col: str, dims: int = 2) -> DataFrame:

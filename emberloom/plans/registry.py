@@ -41,17 +41,24 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import files  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import files  # noqa: F401
+
     return dict(_SQL)
 
 
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_t = table_of
+
+
 def _vector(df: DataFrame, vec_id: int) -> list[float]:
     row = df.filter(F.col("vec_id") == vec_id).select("embedding").first()
     return [float(x) for x in row.embedding] if row else [0.0] * 64
@@ -691,7 +698,7 @@ s AS (SELECT a.item_id AS query_id, b.item_id AS id, sum(a.w * b.w) AS score FRO
 @query(f"WITH {_GRAMS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank, id, round(score, 9) AS score FROM s QUALIFY rank <= 5")
 def sparse_neighbours(spark, sf):
     w = evaluation.tfidf(_t(spark, sf, "benchmark"), "item_id", evaluation.char_ngrams(F.col("text")))
-    return evaluation.sparse_neighbours(w).withColumn("score", F.round("score", 9))
+    return evaluation.sparse_neighbours(w)
 
 
 @query(f"""WITH RECURSIVE {_COSINE}, near AS (SELECT query_id AS q, id, score AS s FROM r WHERE rank <= 10), e AS (SELECT a.q, a.id, a.s FROM near a JOIN near b ON a.q = b.id AND a.id = b.q),

@@ -319,3 +319,15 @@ def test_load_tiers(spark, tmp_path):
         assert sorted((r.id, r.name, r.summary, r.a, r.b) for r in load().collect()) == want
     assert len(said) == 5  # no vectors, too few
     assert readers.projected_of_tiers(spark, ["a"]) is None
+
+
+def test_sparse_blocks_equal_one_block(spark, monkeypatch):
+    texts = ["red gear", "red gears", "blue bolt", "blue", "", None, "red gear", "xyz", "bolt gear ring"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    w = evaluation.tfidf(df, "id", evaluation.char_ngrams(F.col("text")))
+    whole = sorted(evaluation.sparse_neighbours(w, 3).collect())
+    monkeypatch.setattr(evaluation, "SPARSE_BLOCK", 2)
+    assert sorted(evaluation.sparse_neighbours(w, 3).collect()) == whole
+    assert [(r.query_id, r.id, r.score) for r in whole if r.rank == 1 and r.query_id in (0, 6)] == [(0, 6, 1.0), (6, 0, 1.0)]
+    assert {r.query_id for r in whole} == {0, 1, 2, 3, 6, 8}
+    assert evaluation.sparse_neighbours(w.limit(0)).count() == 0
