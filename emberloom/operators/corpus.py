@@ -67,14 +67,15 @@ def group_pairs(df: DataFrame, group: str, id_col: str = "id") -> DataFrame:
 
 def draw_pairs(df: DataFrame, group: str, axis: str, cap: int = 5000, seed: int = 42, id_col: str = "id") -> DataFrame:
     """(axis, a, b): `cap` pairs of two rows of one group, all pairs if there are fewer, each
-    as likely as any other. Rows without a group or an id have no pairs.
+    as likely as any other. Rows without a group or an id have no pairs; an id that repeats in
+    a group is one row of it.
 
     No pair is formed but those drawn. Rows of a group are numbered in the order of a hash; the
     pair of the rows i < j has the number j (j - 1) / 2 + i in its group, groups follow each
     other, and of `cap` equal parts of all numbers each gives one, by hash. The numbering is
     exact by counts of 256 parts of each group, so that a large group is no single task."""
     h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), h.alias("h")).filter("g IS NOT NULL AND id IS NOT NULL")
+    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), h.alias("h")).filter("g IS NOT NULL AND id IS NOT NULL").distinct()
     rows = rows.withColumn("part", F.substring("h", 1, 2))
     parts = rows.groupBy("g", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")  # 256 rows a group
@@ -105,9 +106,12 @@ def draw_pairs(df: DataFrame, group: str, axis: str, cap: int = 5000, seed: int
 
 
 def pairs_with_embeddings(pairs: DataFrame, embeddings: DataFrame, id_col: str = "id") -> DataFrame:
-    """Pairs of which both ends have an embedding."""
+    """Pairs of which both ends have an embedding. The pairs are the small side: their ends
+    thin out the embeddings, not the other way round."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    have = embeddings.select(id_col).join(ends, id_col, "left_semi")
     for end in ("a", "b"):
-        pairs = pairs.join(embeddings.select(F.col(id_col).alias(end)), end, "left_semi")
+        pairs = pairs.join(have.select(F.col(id_col).alias(end)), end, "left_semi")
     return pairs.select("axis", "a", "b")
 
 

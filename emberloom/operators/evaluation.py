@@ -169,8 +169,8 @@ def sparse_neighbours(weights: DataFrame, k: int = 5) -> DataFrame:
     Blocks of rows meet each other, as in search.neighbours(): no pair becomes a row and a
     frequent gram is no join key. Exact, and so quadratic in the rows."""
     kind = weights.schema["id"].dataType.simpleString()
-    rows = weights.groupBy("id").agg(F.collect_list(F.struct("gram", "w")).alias("x"))
-    n = max(1, -(-weights.select("id").distinct().count() // SPARSE_BLOCK))
+    rows = weights.groupBy("id").agg(F.collect_list(F.struct("gram", "w")).alias("x")).checkpoint()  # read three times
+    n = max(1, -(-rows.count() // SPARSE_BLOCK))
 
     def side(own: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.lit(n))

@@ -65,6 +65,8 @@ def test_drawn_pairs(spark):
     other = {(r.a, r.b) for r in corpus.draw_pairs(df, "g", "t", 500, seed=7).collect()}
     assert other != {(r.a, r.b) for r in corpus.draw_pairs(df, "g", "t", 500).collect()}
     assert corpus.draw_pairs(df.limit(0), "g", "t").count() == 0
+    twice = corpus.draw_pairs(df.union(df), "g", "t")
+    assert sorted((r.a, r.b) for r in twice.collect()) == sorted(every)
 
 
 def test_index_of_any_size(spark):
