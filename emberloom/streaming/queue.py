@@ -47,7 +47,8 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], log: str,
         path = spark._jvm.org.apache.hadoop.fs.Path(log)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             done = spark.read.schema("id string, ok boolean, epoch long").parquet(log).filter("ok").filter(F.col("epoch") != epoch).select("id")
-            todo = todo.join(done, "id", "left_anti")
+            mine = done.join(todo.select("id"), "id", "left_semi")  # the batch is the small side
+            todo = todo.join(mine, "id", "left_anti")
         handle(todo).select("id", "ok").withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
