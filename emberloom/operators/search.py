@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-BLOCK = 2048
+#: Rows of a block, and queries of a block that are multiplied at once.
+BLOCK, SLICE = 8192, 1024
+#: Pairs whose scores are added up exactly at once.
+PAIRS = 1 << 15
 #: Queries of a full ranking, which returns all rows for each.
 QUERY_BLOCK = 1000
 
@@ -81,33 +84,35 @@ def search_by_aspects(projected: DataFrame, query_axes: dict[str, list[float]],
 
 def neighbours(corpus: DataFrame, queries: DataFrame | None = None, k: int = 5, id_col: str = "id", vec_col: str = "embedding", metric: str = "cosine", eps: float = 0.0) -> DataFrame:
     """(query_id, rank, id, score): the k most similar rows of corpus to each query, itself excluded.
+    Null vectors and pairs whose score is not a number take no part; the cosine to a zero vector is 0.
 
     Queries (by default the corpus) meet the corpus in blocks of about BLOCK rows each: a
     task multiplies two blocks and passes on k rows a query, so neither side is ever whole
-    in one place and no pair becomes a row."""
+    in one place and no pair becomes a row. A matrix product's last bits depend on where a row
+    lies, so it only rules out rows that rounding cannot make one of the k: the others' scores
+    are left folds, as in a plain loop, and copies tie."""
     queries = corpus if queries is None else queries
     a, b = (max(1, -(-df.count() // BLOCK)) for df in (queries, corpus))
+    kind = "array<float>" if all(df.schema[vec_col].dataType.simpleString() == "array<float>" for df in (queries, corpus)) else "array<double>"
 
     def side(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("vec IS NOT NULL")
-        return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("qb", "cb", "id", "vec")
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).filter("vec IS NOT NULL")
+        # Both keys are ints on both sides: cogroup() compares hashes and bytes, and those of an int and a long differ.
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("qb", "cb", "id", "vec")
 
     def multiply(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(q) and len(c):
-            c = c.sort_values("id")
-            ids, x, y = c["id"].to_numpy(), np.stack(q["vec"].to_numpy()), np.stack(c["vec"].to_numpy())
-            if metric == "cosine":
-                for m in (x, y):
-                    n = np.linalg.norm(m, axis=1, keepdims=True) + eps
-                    np.divide(m, n, out=m, where=n > 0)
-            s = x @ y.T
-            for i, own in enumerate(q["id"].tolist()):
-                row = np.where(ids == own, -np.inf, s[i])
-                best = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                best = best[np.argsort(-row[best], kind="stable")][:k]
-                out += [(own, int(ids[j]), float(row[j])) for j in best if row[j] > -np.inf]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+            c = c.sort_values("id", ignore_index=True)
+            # Of equal vectors a query has the k of smallest id at most, besides rows of its own id.
+            c = c[c.groupby(c["vec"].map(lambda v: v.tobytes())).cumcount() < k + c["id"].value_counts().max()]
+            own, ids = q["id"].to_numpy(), c["id"].to_numpy()
+            x, y = (np.stack(df["vec"].to_numpy()).astype(np.float64) for df in (q, c))
+            for at in range(0, len(own), SLICE):
+                i, j, score = _nearest(x[at : at + SLICE], y, own[at : at + SLICE, None] == ids, k, metric, eps)
+                out.append(pd.DataFrame({"query_id": own[at + i], "id": ids[j], "score": score}))
+        return pd.concat(out)
 
     left, right = side(queries, "qb", a, "cb", b), side(corpus, "cb", b, "qb", a)
     best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(multiply, "query_id long, id long, score double")
@@ -115,6 +120,41 @@ def neighbours(corpus: DataFrame, queries: DataFrame | None = None, k: int = 5,
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _fold(products: np.ndarray) -> np.ndarray:
+    """Row sums from left to right: the same bits for the same row, wherever it lies."""
+    out = np.zeros(len(products))
+    for d in range(products.shape[1]):
+        out += products[:, d]
+    return out
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, same: np.ndarray, k: int, metric: str, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of x, row of y and score of the k best rows of y for each of x, those marked in same
+    excluded; of equal scores the first rows."""
+    xx, yy = _fold(x * x), _fold(y * y)
+    nx, ny = np.sqrt(xx) + eps, np.sqrt(yy) + eps
+    bits = (4 * x.shape[1] + 64) * np.finfo(np.float64).eps  # rounding of both sums, generously
+    with np.errstate(all="ignore"):
+        if metric == "cosine":
+            rough, slack = (x / np.where(nx > 0, nx, 1)[:, None]) @ (y / np.where(ny > 0, ny, 1)[:, None]).T, np.full(len(x), bits)
+        else:
+            rough, slack = x @ y.T, bits * nx * ny.max()
+        if rough.shape[1] > k:
+            low = np.where(same | np.isnan(rough), -np.inf, rough)
+            low.partition(low.shape[1] - k, axis=1)
+            same = same | (rough < (low[:, -k] - slack)[:, None])
+        i, j = np.nonzero(~same)
+        score = np.concatenate([np.zeros(0), *[_fold(x[i[a : a + PAIRS]] * y[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)]])
+        if metric == "cosine":
+            size = np.sqrt(xx[i] * yy[j]) if eps == 0 else nx[i] * ny[j]
+            score = np.where(size == 0, 0.0, np.clip(score / size, -1.0, 1.0))
+    known = ~np.isnan(score)
+    i, j, score = i[known], j[known], score[known]
+    order = np.lexsort((j, -score, i))
+    order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < k]
+    return i[order], j[order], score[order]
+
+
 def scored(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, of_query: dict | None = None, of_row: dict | None = None) -> DataFrame:
     """(query_id, id, score, extra columns) of all rows for all queries, themselves included. A block of
     QUERY_BLOCK queries is broadcast; of more blocks each meets its own copy of the corpus' rows."""

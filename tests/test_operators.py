@@ -1,3 +1,5 @@
+import functools
+import math
 import random
 import struct
 
@@ -43,6 +45,40 @@ def test_blocked_neighbours_equal_brute_force(spark, monkeypatch):
     assert got == {(i, k + 1): int(j) for i in range(100) for k, j in enumerate(np.argsort(-s[i])[:4])}
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """No task takes in the groups of several partitions, as in any large run."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, old)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_blocks_in_many_partitions_lose_no_neighbour(spark, monkeypatch, many_partitions, metric):
+    monkeypatch.setattr(search, "BLOCK", 30)
+    monkeypatch.setattr(search, "SLICE", 7)
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-3, 4, (100, 6)).astype(float) + 0.1
+    rows = [(i, vectors[i % 37].tolist()) for i in range(100)] + [(100, None), (101, [0.0] * 6), (102, [float("nan")] * 6)]
+
+    def score(a, b):
+        d, m, n = (functools.reduce(lambda s, xy: s + xy[0] * xy[1], zip(u, v), 0.0) for u, v in ((a, b), (a, a), (b, b)))
+        return d if metric == "dot" else d / math.sqrt(m * n) if m * n else 0.0
+
+    known = [r for r in rows[:102] if r[1]]
+    want = {i: [j for _, j in sorted((-score(a, b), j) for j, b in known if j != i)[:4]] for i, a in known}
+    got = search.neighbours(spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5), k=4, metric=metric).orderBy("query_id", "rank").collect()
+    assert {i: [r.id for r in got if r.query_id == i] for i in {r.query_id for r in got}} == want
+
+
+def test_rows_of_one_id_are_no_neighbours_of_each_other(spark):
+    df = spark.createDataFrame([(i % 4, [1.0, 2.0]) for i in range(12)], "id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.id) for r in search.neighbours(df, df.filter("id = 0").limit(1), k=4).collect())
+    assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 2)]
+
+
 def test_first_duplicate_hides_later_ones(spark):
     raw = spark.createDataFrame([(0, "河童[1]", "\n\n　　　　　　　　　　　　"), (1, "天狗", "山にいる天狗の話である。"), (2, "天狗[2]", "ほかの天狗の長い長い話。"), (3, "鬼", "短い"), (4, "雪女", "[1]" * 12), (5, "雪女", "雪の夜に現れる女である。")], "ordinal long, name string, detail string")
     got = corpus.clean_corpus(raw, "s", "item").orderBy("id").collect()
