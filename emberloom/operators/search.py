@@ -42,17 +42,21 @@ def search_by_embedding(df: DataFrame, query: list[float], k: int = 3, id_col: s
 
 
 def project(df: DataFrame, matrix: list[list[float]], axes: list[str], vec_col: str = "embedding") -> DataFrame:
-    """df with a unit vector for each axis: the rows of matrix are the axes' in turn."""
+    """df with a unit vector for each axis: the rows of matrix are the axes' in turn. Sums are left
+    folds, so that a row's bits do not depend on the batch it is in, as a matrix product's do."""
     width = len(matrix) // len(axes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = np.asarray(matrix, np.float64).T
         for pdf in batches:
             if len(pdf):
-                p = np.stack(pdf[vec_col].to_numpy()).astype(np.float64) @ m
+                x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+                p = np.zeros((len(x), m.shape[1]))
+                for d in range(len(m)):
+                    p += x[:, d : d + 1] * m[d]
                 for k, axis in enumerate(axes):
                     own = p[:, k * width : (k + 1) * width]
-                    n = np.linalg.norm(own, axis=1, keepdims=True)
+                    n = np.sqrt(_fold(own * own))[:, None]
                     pdf[axis] = list(np.divide(own, n, out=own.copy(), where=n > 0))
                 yield pdf
 

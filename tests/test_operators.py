@@ -79,6 +79,13 @@ def test_rows_of_one_id_are_no_neighbours_of_each_other(spark):
     assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 2)]
 
 
+def test_copies_are_projected_to_the_same_bits_in_any_batch(spark):
+    v = np.random.default_rng(0).normal(size=64).tolist()
+    parts = [spark.createDataFrame([(i, v) for i in range(n)], "id long, embedding array<double>").coalesce(1) for n in (1, 2, 100)]
+    rows = [r for df in parts for r in search.project(df, search.synthetic_projection(), ["a", "b", "c"]).collect()]
+    assert len({tuple([*r.a, *r.b, *r.c]) for r in rows}) == 1
+
+
 def test_first_duplicate_hides_later_ones(spark):
     raw = spark.createDataFrame([(0, "河童[1]", "\n\n　　　　　　　　　　　　"), (1, "天狗", "山にいる天狗の話である。"), (2, "天狗[2]", "ほかの天狗の長い長い話。"), (3, "鬼", "短い"), (4, "雪女", "[1]" * 12), (5, "雪女", "雪の夜に現れる女である。")], "ordinal long, name string, detail string")
     got = corpus.clean_corpus(raw, "s", "item").orderBy("id").collect()
