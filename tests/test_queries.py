@@ -8,7 +8,7 @@ from emberloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries that are held to their SQL on copies of rows, too.
-COPIED = ["allpairs_topk", "aspect_examples", "mutual_neighbour_clusters"]
+COPIED = ["allpairs_topk", "aspect_examples", "bootstrap_interval", "mutual_neighbour_clusters"]
 
 
 @pytest.fixture(scope="module")
