@@ -8,7 +8,7 @@ from emberloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries that are held to their SQL on copies of rows, too.
-COPIED = ["allpairs_topk", "aspect_examples", "bootstrap_interval", "mutual_neighbour_clusters", "precision_at_5_cosine"]
+COPIED = ["allpairs_topk", "aspect_examples", "bootstrap_interval", "mutual_neighbour_clusters", "precision_at_5_cosine", "precision_at_5_dot"]
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +74,7 @@ def test_training_lowers_the_loss(spark, sf):
 
 
 def test_clusters_are_large_enough(spark, sf):
-    df = registry.queries()["mutual_neighbour_clusters", "precision_at_5_cosine"](spark, sf)
+    df = registry.queries()["mutual_neighbour_clusters", "precision_at_5_cosine", "precision_at_5_dot"](spark, sf)
     assert df.filter("cluster_id >= 0").groupBy("cluster_id").count().filter("count < 5").count() == 0
     assert df.filter("cluster_id = -1 AND confidence IS NOT NULL").count() == 0
 
