@@ -50,7 +50,7 @@ def centroids(df: DataFrame, cluster: str, vec_col: str) -> DataFrame:
 
 
 def mutual_neighbour_clusters(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least: int = 5) -> DataFrame:
-    """(id, cluster_id, confidence): connected components of the graph of mutual k nearest
+    """(id, cluster_id, confidence), one row for each id: connected components of the graph of mutual k nearest
     neighbours; components of fewer than `least` rows are -1 with null confidence. A cluster is
     numbered by its smallest id; confidence is the mean similarity to the row's mutual neighbours.
 
@@ -58,7 +58,7 @@ def mutual_neighbour_clusters(df: DataFrame, id_col: str, vec_col: str, k: int =
     near = neighbours(df, k=k, id_col=id_col, vec_col=vec_col).select("query_id", "id", "score").checkpoint()
     back = near.select(F.col("id").alias("query_id"), F.col("query_id").alias("id"))
     edges = near.join(back, ["query_id", "id"])
-    nodes = df.select(F.col(id_col).cast("long").alias("id"))
+    nodes = df.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()  # labels of an id that repeats would multiply in each round
     labels = nodes.withColumn("label", F.col("id")).checkpoint()
     while True:
         best = edges.join(labels, "id").groupBy("query_id").agg(F.min("label").alias("near"))
