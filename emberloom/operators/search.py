@@ -88,7 +88,7 @@ def search_by_aspects(projected: DataFrame, query_axes: dict[str, list[float]],
 
 def neighbours(corpus: DataFrame, queries: DataFrame | None = None, k: int = 5, id_col: str = "id", vec_col: str = "embedding", metric: str = "cosine", eps: float = 0.0) -> DataFrame:
     """(query_id, rank, id, score): the k most similar rows of corpus to each query, itself excluded.
-    Null vectors and pairs whose score is not a number take no part; the cosine to a zero vector is 0.
+    Null ids, null vectors and pairs whose score is not a number take no part; the cosine to a zero vector is 0.
 
     Queries (by default the corpus) meet the corpus in blocks of about BLOCK rows each: a
     task multiplies two blocks and passes on k rows a query, so neither side is ever whole
@@ -100,7 +100,7 @@ def neighbours(corpus: DataFrame, queries: DataFrame | None = None, k: int = 5,
     kind = "array<float>" if all(df.schema[vec_col].dataType.simpleString() == "array<float>" for df in (queries, corpus)) else "array<double>"
 
     def side(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).filter("vec IS NOT NULL")
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).filter("id IS NOT NULL AND vec IS NOT NULL")
         # Both keys are ints on both sides: cogroup() compares hashes and bytes, and those of an int and a long differ.
         rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("qb", "cb", "id", "vec")
