@@ -73,22 +73,25 @@ def bootstrap_interval(values: DataFrame, value_col: str = "precision", id_col:
     """(mean, lo, hi, n): percentile interval of the mean. A resample gives each row a Poisson
     weight from a hash of its (integer) id, the resample and the seed, so all resamples are one
     pass: a partition gives one partial sum for each. lo and hi are the means of rank
-    int(alpha * n) and int((1 - alpha) * n)."""
+    int(alpha * n) and int((1 - alpha) * n); a resample without any row has the mean NaN, which ranks
+    last. Without rows all is null."""
     terms = np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)])
     below, r = np.cumsum(terms), np.arange(resamples, dtype=np.int64)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vw, w = np.zeros(resamples), np.zeros(resamples)
+        vw, w, n = np.zeros(resamples), np.zeros(resamples), 0
         for pdf in batches:
+            n += len(pdf)
             for a in range(0, len(pdf), 1024):
                 ids, v = pdf["id"].to_numpy(np.int64)[a : a + 1024], pdf["v"].to_numpy(float)[a : a + 1024]
                 own = np.searchsorted(below, _uniform(ids[:, None], r[None, :], seed), side="right")
                 vw += v @ own
                 w += own.sum(axis=0)
-        yield pd.DataFrame({"r": r, "vw": vw, "w": w})
+        if n:
+            yield pd.DataFrame({"r": r, "vw": vw, "w": w})
 
     rows = values.filter(F.col(value_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(value_col).cast("double").alias("v"))
-    means = rows.mapInPandas(sums, "r long, vw double, w double").groupBy("r").agg((F.sum("vw") / F.sum("w")).alias("m")).filter("m IS NOT NULL")
+    means = rows.mapInPandas(sums, "r long, vw double, w double").groupBy("r").agg(F.coalesce(F.try_divide(F.sum("vw"), F.sum("w")), F.lit(float("nan"))).alias("m"))
     ordered = means.agg(F.array_sort(F.collect_list("m")).alias("ms"))  # `resamples` numbers
     at = lambda q: F.try_element_at("ms", F.lit(min(resamples, int(q * resamples) + 1)))
     whole = values.agg(F.avg(value_col).alias("mean"), F.count(value_col).alias("n"))
@@ -96,10 +99,11 @@ def bootstrap_interval(values: DataFrame, value_col: str = "precision", id_col:
 
 
 def _uniform(ids: np.ndarray, r: np.ndarray, seed: int) -> np.ndarray:
-    """Numbers in [0, 1) by integer arithmetic that any engine has: multipliers of linear congruences, modulo 2 ** 31."""
+    """Numbers in [0, 1) by integer arithmetic that any engine has: multipliers of linear congruences, modulo 2 ** 31.
+    Remainders have the sign of the dividend, as in SQL, up to the first exclusive or, which is never negative."""
     m = 1 << 31
-    x = (ids % m * 1_000_003 + r * 8191 + seed * 131) % m
-    x = (x * 1_103_515_245 + 12_345) % m
+    x = np.fmod(np.fmod(ids, m) * 1_000_003 + r * 8191 + seed * 131, m)
+    x = np.fmod(x * 1_103_515_245 + 12_345, m)
     x = x ^ (x >> 15)
     x = (x * 69_069 + 1) % m
     x = x ^ (x >> 13)

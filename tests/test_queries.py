@@ -81,6 +81,11 @@ def test_rows_without_id_are_no_neighbours(spark, sf, tmp_path, name):
     same_as_sql_on(spark, tmp_path, name, f"{rows} UNION ALL SELECT NULL, embedding, label FROM ({rows}) WHERE vec_id % 3 = 0")
 
 
+@pytest.mark.parametrize("rows", ["SELECT vec_id - 250 AS vec_id, embedding, label FROM '{}'", "SELECT * FROM '{}' WHERE label = 3 LIMIT 3", "SELECT * FROM '{}' LIMIT 1"])
+def test_bootstrap_interval_of_negative_ids_and_few_rows(spark, sf, tmp_path, rows):
+    same_as_sql_on(spark, tmp_path, "bootstrap_interval", rows.format(f"{sf}/embeddings.parquet"))
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
