@@ -75,7 +75,7 @@ def test_clusters_have_one_row_for_an_id_that_repeats(spark, sf, tmp_path):
     same_as_sql_on(spark, tmp_path, "mutual_neighbour_clusters", f"{rows} UNION ALL {rows} AND vec_id % 7 = 0 UNION ALL {other} FROM ({rows}) WHERE vec_id % 11 = 0")
 
 
-@pytest.mark.parametrize("name", ["precision_at_5_cosine"])
+@pytest.mark.parametrize("name", ["precision_at_5_cosine", "precision_at_5_dot"])
 def test_rows_without_id_are_no_neighbours(spark, sf, tmp_path, name):
     rows = f"SELECT vec_id, embedding, label FROM '{sf}/embeddings.parquet'"
     same_as_sql_on(spark, tmp_path, name, f"{rows} UNION ALL SELECT NULL, embedding, label FROM ({rows}) WHERE vec_id % 3 = 0")
